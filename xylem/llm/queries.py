@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, token_counts
 
 
 def queries():
     return {
+        "op4_token_counts": token_counts.op4,
         "op10_mixing": mixing.op10,
     }
 
