@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, token_counts
+from . import mixing, token_counts, toxicity
 
 
 def queries():
     return {
         "op4_token_counts": token_counts.op4,
+        "op7_toxicity": toxicity.op7,
         "op10_mixing": mixing.op10,
     }
 
