@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import language_id, mixing, token_counts, toxicity
+from . import fingerprints, language_id, mixing, token_counts, toxicity
 
 
 def queries():
     return {
         "op1_language_id": language_id.op1,
+        "op2_fingerprints": fingerprints.op2,
         "op4_token_counts": token_counts.op4,
         "op7_toxicity": toxicity.op7,
         "op10_mixing": mixing.op10,
