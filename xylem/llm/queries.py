@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, language_id, mixing, token_counts, toxicity
+from . import fingerprints, language_id, mixing, simhash, token_counts, toxicity
 
 
 def queries():
@@ -11,6 +11,7 @@ def queries():
         "op2_fingerprints": fingerprints.op2,
         "op4_token_counts": token_counts.op4,
         "op7_toxicity": toxicity.op7,
+        "op9_simhash": simhash.op9,
         "op10_mixing": mixing.op10,
     }
 
