@@ -36,15 +36,15 @@ def fingerprint(text: bytes) -> int:
     if not words:
         return 0
     joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 0x20)
     k = min(SHINGLE, len(words))
-    starts = np.concatenate(([0], ends[:-1] + 1))[: len(ends) - k + 1].tolist()
+    n = len(words) - k + 1
+    starts, ends = [0, *(gaps[: n - 1] + 1).tolist()], [*gaps[k - 1 :].tolist(), len(joined)]
     digest = xxhash.xxh64_intdigest
-    n = len(starts)
-    h = np.fromiter([digest(joined[s:e], SEED) for s, e in zip(starts, ends[k - 1 :].tolist(), strict=True)], np.uint64, n)
+    h = np.fromiter([digest(joined[s:e], SEED) for s, e in zip(starts, ends, strict=True)], np.uint64, n)
     ones = np.zeros(64, np.int64)
-    for i in range(0, n, 4096):
-        ones += np.unpackbits(h[i : i + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    for i in range(0, n, 255):  # so many ones fit a byte
+        ones += np.unpackbits(h[i : i + 255].view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.uint8)
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
