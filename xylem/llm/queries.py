@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, language_id, mixing, simhash, token_counts, toxicity
+from . import fingerprints, language_id, mixing, neighbours, simhash, token_counts, toxicity
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op1_language_id": language_id.op1,
         "op2_fingerprints": fingerprints.op2,
         "op4_token_counts": token_counts.op4,
+        "op5_neighbours": neighbours.op5,
         "op7_toxicity": toxicity.op7,
         "op9_simhash": simhash.op9,
         "op10_mixing": mixing.op10,
