@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import fingerprints, language_id, mixing, neighbours, sentencepiece, simhash, token_counts, toxicity
+from . import fingerprints, language_id, mixing, neighbours, sentencepiece, simhash, suffix_dedup, token_counts, toxicity
 
 
 def queries():
     return {
         "op1_language_id": language_id.op1,
         "op2_fingerprints": fingerprints.op2,
+        "op3_suffix_dedup": suffix_dedup.op3,
         "op4_token_counts": token_counts.op4,
         "op5_neighbours": neighbours.op5,
         "op7_toxicity": toxicity.op7,
