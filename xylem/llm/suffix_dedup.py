@@ -22,7 +22,6 @@ kept behind). In the order of the work:
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,17 +31,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import parts, read_table, written
+from .chunks import NO_ID, opened, packed_chunks, ranges_of
+from .common import read_table, written
 from .words import mix
 
 LENGTH, K = 50, 20
-#: Bytes of a chunk, and of the pieces in which hashes are computed.
-CHUNK, BLOCK = 8 << 20, 1 << 20
+#: Bytes in which hashes are computed at once.
+BLOCK = 1 << 16
 #: A K-gram is common if one chunk has it this often, or this many chunks have it.
-COMMON, COMMON_CHUNKS = 64, 4096
+COMMON, COMMON_CHUNKS = 1024, 4096
 #: Bytes of hash before a suffix; a suffix with its left context and length.
 HASH_BYTES, WIDE = 3, 2 * LENGTH - K + 1
-NO_ID = (1 << 63) - 1
 _B = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
@@ -113,52 +112,6 @@ def sorted_keys(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return order, begin, np.append(begin[1:], len(h))
 
 
-def packed_chunks(docs: DataFrame, keep: list[str], text_col: str, id_col: str) -> DataFrame:
-    """(chunk, ids, sizes, blob, rest): texts of about ``CHUNK`` bytes together; a null text has size -1, a null id the largest."""
-    names = [f"k{i}" for i in range(len(keep))]
-    d = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rest = d.select(*names).schema
-    schema = T.StructType([T.StructField("chunk", T.StringType()), T.StructField("ids", T.BinaryType()), T.StructField("sizes", T.BinaryType()), T.StructField("blob", T.BinaryType()), T.StructField("rest", T.ArrayType(rest))])
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=1)
-        ids, sizes, texts, kept, size = [], [], [], [], 0
-
-        def row():
-            struct_ = pa.concat_arrays(kept)
-            lists = pa.ListArray.from_arrays(pa.array([0, len(struct_)], pa.int32()), struct_)
-            return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), *(pa.array([b], pa.binary()) for b in (np.array(ids, np.int64).tobytes(), np.array(sizes, np.int64).tobytes(), squeeze.compress(b"".join(texts)))), lists], schema.fieldNames())
-
-        for batch in batches:
-            fields = pa.StructArray.from_arrays(batch.columns[: len(names)], names=names)
-            at = 0
-            for i, (id_, text) in enumerate(zip(batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist(), strict=True)):
-                raw = b"" if text is None else text.encode("utf-8", "surrogatepass")
-                if size and size + len(raw) > CHUNK:
-                    kept.append(fields.slice(at, i - at))
-                    yield row()
-                    ids, sizes, texts, kept, size, at = [], [], [], [], 0, i
-                ids.append(id_)
-                sizes.append(-1 if text is None else len(raw))
-                texts.append(raw)
-                size += len(raw)
-            kept.append(fields.slice(at))
-        if ids:
-            yield row()
-
-    return d.mapInArrow(pack, schema)
-
-
-def opened(blob: bytes, sizes: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = np.maximum(np.frombuffer(sizes, np.int64), 0)
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob) if n.sum() else b"", np.uint8), np.concatenate(([0], np.cumsum(n)))
-
-
-def ranges_of(spark) -> int:
-    """Bits that name a range of hashes: four ranges a shuffle partition."""
-    return max(4, (4 * parts(spark) - 1).bit_length())
-
-
 def shared_kgrams(chunks: DataFrame, bits: int) -> DataFrame:
     """(chunk, found): per chunk, ranges and for each of its distinct K-grams there 0, 1 (in several documents) or 2 (common)."""
 
