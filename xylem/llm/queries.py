@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, language_id, mixing, neighbours, sentencepiece, simhash, suffix_dedup, token_counts, toxicity
+from . import fingerprints, language_id, lm_scoring, mixing, neighbours, sentencepiece, simhash, suffix_dedup, token_counts, toxicity
 
 
 def queries():
@@ -12,6 +12,7 @@ def queries():
         "op3_suffix_dedup": suffix_dedup.op3,
         "op4_token_counts": token_counts.op4,
         "op5_neighbours": neighbours.op5,
+        "op6_lm_scoring": lm_scoring.op6,
         "op7_toxicity": toxicity.op7,
         "op8_sentencepiece": sentencepiece.op8,
         "op9_simhash": simhash.op9,
