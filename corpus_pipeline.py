@@ -1,14 +1,54 @@
-"""Corpus pipeline: toxicity, near-duplicates, repeated passages, mixing, encoding."""
+"""Corpus pipeline: from documents to encoded training data.
+
+Toxic documents go, one document of each near-duplicate group stays, repeated
+passages are cut, sources are mixed to their targets, and what is left is
+encoded. Every stage takes (spark, docs, sf_dir); all but the last return the
+columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import functions as F
+
+from xylem.llm import mixing, sentencepiece, simhash, suffix_dedup, toxicity
+from xylem.llm.common import read_table, written
+
+
+def drop_toxic(spark, docs, sf_dir):
+    return toxicity.without_toxic(docs, toxicity.ToxicityModel(docs, read_table(spark, sf_dir, "labels")))
+
+
+def drop_near_duplicates(spark, docs, sf_dir):
+    return simhash.one_of_each(docs)
+
+
+def cut_repeats(spark, docs, sf_dir):
+    return suffix_dedup.cut_repeats(docs)
+
+
+def mix_sources(spark, docs, sf_dir):
+    return mixing.mixed(docs)
+
+
+def encode(spark, docs, sf_dir):
+    d = sentencepiece.encoded(docs, ["doc_id", "source"])
+    return d.select("doc_id", "source", "n_chars", F.size("ids").cast("long").alias("n_pieces"), "ids")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash", drop_near_duplicates),
+    ("suffix_dedup", cut_repeats),
+    ("mixing", mix_sources),
+    ("sentencepiece", encode),
+]
 
+#: SQL has neither the toxicity model nor XXH64; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -392,12 +392,13 @@ def spans_of(run_rows: DataFrame) -> DataFrame:
     return run_rows.groupBy("r").applyInArrow(merge, "chunk string, spans binary").where("spans IS NOT NULL").groupBy("chunk").agg(F.collect_list("spans").alias("spans"))
 
 
-def without_repeats(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``keep`` columns, n_bytes, n_removed, n_spans, kept_sha256 and kept (binary) of each row.
+def without_repeats(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", binary: bool = True, as_text: bool = True) -> DataFrame:
+    """``keep`` columns, n_bytes, n_removed, n_spans, kept_sha256, kept (binary) and kept_text of each row.
 
-    Null texts are empty and stay null in ``kept``. Rows with equal ids never
+    ``kept_text`` leaves out characters that were cut in two. Null texts are empty and stay null in both. Rows with equal ids never
     cut each other; a null id counts as larger than any. Texts under 50 bytes
-    keep all. Repeated rows each get a row.
+    keep all. Repeated rows each get a row. ``binary`` and ``as_text`` turn those two columns
+    to nulls where they aren't wanted.
     """
     bits = ranges_of(docs.sparkSession)
     chunks = written(packed_chunks(docs, keep, text_col, id_col), "suffix-chunks")
@@ -405,7 +406,7 @@ def without_repeats(docs: DataFrame, keep: list[str], id_col: str = "doc_id", te
     spans = spans_of(runs(some, bits))
     names = [f"k{i}" for i in range(len(keep))]
     rest = chunks.schema["rest"].dataType.elementType
-    schema = T.StructType([*rest.fields, *T._parse_datatype_string("n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").fields])
+    schema = T.StructType([*rest.fields, *T._parse_datatype_string("n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, kept_text string").fields])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opener = zstandard.ZstdDecompressor()
@@ -428,14 +429,25 @@ def without_repeats(docs: DataFrame, keep: list[str], id_col: str = "doc_id", te
                 total = np.concatenate(([0], np.cumsum(opens)))
                 n_spans = total[begins[1:]] - total[begins[:-1]]
                 kept = [bytes(buf[a:b]) if not r else bytes(buf[a:b][~out[a:b]]) for a, b, r in zip(begins, begins[1:], removed, strict=False)]
-                null = np.frombuffer(sizes, np.int64) < 0
+                kept = [None if z else k for k, z in zip(kept, np.frombuffer(sizes, np.int64) < 0, strict=True)]
                 fields = batch.column(2)[i].values
-                yield pa.RecordBatch.from_arrays([*(fields.field(j) for j in range(len(names))), pa.array(n), pa.array(removed), pa.array(n_spans), pa.array([hashlib.sha256(k).hexdigest() for k in kept]), pa.array([None if z else k for k, z in zip(kept, null, strict=True)], pa.binary())], schema.fieldNames())
+                yield pa.RecordBatch.from_arrays([*(fields.field(j) for j in range(len(names))), pa.array(n), pa.array(removed), pa.array(n_spans), pa.array([hashlib.sha256(k or b"").hexdigest() for k in kept]), pa.array(kept if binary else [None] * len(kept), pa.binary()), pa.array([None if k is None else k.decode("utf-8", "ignore") for k in kept] if as_text else [None] * len(kept), pa.string())], schema.fieldNames())
 
     done = chunks.join(spans, "chunk", "left").select("blob", "sizes", "rest", "spans").mapInArrow(cut, schema)
     return done.select(*[F.col(a).alias(b) for a, b in zip(names, keep, strict=True)], *schema.fieldNames()[len(names):])
 
 
 def op3(spark, sf_dir):
-    d = without_repeats(read_table(spark, sf_dir, "documents"), ["doc_id"])
+    d = without_repeats(read_table(spark, sf_dir, "documents"), ["doc_id"], binary=False, as_text=False)
     return d.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def cut_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with repeated passages cut from the text (and n_chars, if there is one, to match); a row of which nothing but white space is left goes."""
+    names = docs.columns
+    keep = [c for c in names if c != "text"]
+    d = without_repeats(docs, keep, binary=False)
+    d = d.where((F.col("n_removed") == 0) | F.col("kept_text").rlike(r"\S"))
+    new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("bigint")}
+    at = {c: i for i, c in enumerate(keep)}
+    return d.select(*[new[c].alias(c) if c in new and (c == "text" or c in at) else F.col(c) for c in names])
