@@ -105,8 +105,8 @@ class LanguageModel:
         self.held = docs.sparkSession.sparkContext.broadcast((langs, n / n.sum(0) if langs else n))
 
     def predict(self, docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
-        """``keep`` columns, lang_pred and score. Null texts and texts without a letter are ``und`` with score 0, as is all if nothing was learned."""
-        held = self.held
+        """``keep`` columns, lang_pred and score. Null texts and texts without a letter are ``und`` with score 0, as is all if nothing was learned. Kept columns of those names are replaced."""
+        held, keep = self.held, [c for c in keep if c not in ("lang_pred", "score")]
         schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

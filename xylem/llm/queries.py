@@ -21,4 +21,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op10_mixing": mixing.OP10_SQL}
+    return {"op3_suffix_dedup": suffix_dedup.OP3_SQL, "op10_mixing": mixing.OP10_SQL}

@@ -338,7 +338,7 @@ def decoded(rows: DataFrame, ids_col: str = "ids", out_col: str = "text", model:
     """``rows`` with ``out_col``: each array of ids as text; null stays null."""
     with open(model, "rb") as f:
         held = rows.sparkSession.sparkContext.broadcast(f.read())
-    at, schema = rows.columns.index(ids_col), rows.schema.add(out_col, "string")
+    at, schema = rows.columns.index(ids_col), T.StructType([*rows.schema.fields, T.StructField(out_col, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(held.value)

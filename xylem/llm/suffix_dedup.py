@@ -451,3 +451,23 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("bigint")}
     at = {c: i for i, c in enumerate(keep)}
     return d.select(*[new[c].alias(c) if c in new and (c == "text" or c in at) else F.col(c) for c in names])
+
+
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(COALESCE(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, UNNEST(range(0, len(h) // 2 - 49)) AS p, h FROM d WHERE len(h) >= 100),
+s AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM w),
+f AS (SELECT s, min(doc_id) AS least FROM s GROUP BY s HAVING min(doc_id) < max(doc_id)),
+c AS (SELECT DISTINCT s.doc_id, s.p FROM s JOIN f USING (s) WHERE s.doc_id > f.least),
+o AS (SELECT *, COALESCE(p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) > 50, TRUE) AS opens FROM c),
+g AS (SELECT *, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM o),
+spans AS (SELECT doc_id, k, min(p) AS a, max(p) + 50 AS b FROM g GROUP BY doc_id, k),
+cuts AS (SELECT doc_id, count(*) AS n_spans, sum(b - a)::BIGINT AS n_removed FROM spans GROUP BY doc_id),
+ends AS (SELECT doc_id, k, a, COALESCE(lag(b) OVER (PARTITION BY doc_id ORDER BY k), 0) AS before FROM
+         (SELECT doc_id, k, a, b FROM spans UNION ALL
+          SELECT doc_id, 1000000000, (SELECT len(h) // 2 FROM d WHERE d.doc_id = cuts.doc_id), 0 FROM cuts)),
+kept AS (SELECT e.doc_id, string_agg(substr(d.h, (2 * e.before + 1)::BIGINT, (2 * (e.a - e.before))::BIGINT), '' ORDER BY e.k) AS h FROM ends e JOIN d USING (doc_id) GROUP BY e.doc_id)
+SELECT d.doc_id, (len(d.h) // 2)::BIGINT AS n_bytes, COALESCE(cuts.n_removed, 0)::BIGINT AS n_removed, COALESCE(cuts.n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(COALESCE(kept.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN cuts USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
