@@ -338,13 +338,14 @@ def decoded(rows: DataFrame, ids_col: str = "ids", out_col: str = "text", model:
     """``rows`` with ``out_col``: each array of ids as text; null stays null."""
     with open(model, "rb") as f:
         held = rows.sparkSession.sparkContext.broadcast(f.read())
-    at, schema = rows.columns.index(ids_col), T.StructType([*rows.schema.fields, T.StructField(out_col, T.StringType())])
+    names = rows.columns
+    at, schema = names.index(ids_col), T.StructType([*rows.schema.fields, T.StructField(out_col, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(held.value)
         for batch in batches:
             text = [None if i is None else enc.decode(i) for i in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.string())], [*rows.columns, out_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.string())], [*names, out_col])
 
     return rows.mapInArrow(run, schema)
 
