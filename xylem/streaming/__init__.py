@@ -1 +1 @@
-
+"""Documents that arrive in pieces."""
