@@ -28,7 +28,7 @@ def packed_chunks(docs: DataFrame, keep: list[str], text_col: str, id_col: str)
     schema = T.StructType([T.StructField("chunk", T.StringType()), T.StructField("ids", T.BinaryType()), T.StructField("sizes", T.BinaryType()), T.StructField("blob", T.BinaryType()), T.StructField("rest", T.ArrayType(rest))])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=1)
+        squeeze = zstandard.ZstdCompressor(level=5)
         ids, sizes, texts, kept, size = [], [], [], [], 0
 
         def row():

@@ -159,7 +159,7 @@ def runs(chunks: DataFrame, bits: int) -> DataFrame:
     """(r, chunk, n, coded, rows): every chunk's sorted, front-coded suffixes for each range."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze, opener = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+        squeeze, opener = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
         for batch in batches:
             for chunk, ids, blob, sizes, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 buf, begins = opened(blob, sizes)
@@ -413,11 +413,10 @@ def without_repeats(docs: DataFrame, keep: list[str], id_col: str = "doc_id", te
         for batch in batches:
             for blob, sizes, spans_, i in zip(*(batch.column(c).to_pylist() for c in (0, 1, 3)), range(batch.num_rows), strict=True):
                 buf, begins = opened(blob, sizes)
-                edge = np.zeros(len(buf) + 1, np.int32)
-                for raw in spans_ or ():
-                    doc, start, size = np.frombuffer(opener.decompress(raw), np.uint32).reshape(3, -1).astype(np.int64)
-                    edge += np.bincount(begins[doc] + start, minlength=len(edge)).astype(np.int32)
-                    edge -= np.bincount(begins[doc] + start + size, minlength=len(edge)).astype(np.int32)
+                found = [np.frombuffer(opener.decompress(raw), np.uint32).reshape(3, -1).astype(np.int64) for raw in spans_ or ()]
+                doc, start, size = np.concatenate(found, 1) if found else np.empty((3, 0), np.int64)
+                start = start + begins[doc]
+                edge = np.bincount(start, minlength=len(buf) + 1) - np.bincount(start + size, minlength=len(buf) + 1)
                 out = np.cumsum(edge[:-1]) > 0
                 n = np.diff(begins)
                 total = np.concatenate(([0], np.cumsum(out)))
