@@ -13,6 +13,9 @@ import re
 from dataclasses import dataclass, field
 from decimal import Decimal
 
+import pandas as pd
+from pyspark.sql import functions as F
+
 #: Integer types and their bounds.
 INTEGERS: dict[str, tuple[int | None, int | None]] = {
     "integer": (None, None), "nonPositiveInteger": (None, 0), "negativeInteger": (None, -1), "nonNegativeInteger": (0, None), "positiveInteger": (1, None),
@@ -343,9 +346,6 @@ def union_of(*members: SimpleType) -> SimpleType:
 
 def valid_column(column, simple: SimpleType):
     """Validity as an Arrow-batched function; null is not valid."""
-    import pandas as pd
-    from pyspark.sql import functions as F
-
     @F.pandas_udf("boolean")
     def check(s: pd.Series) -> pd.Series:
         return s.map(simple.is_valid, na_action=None)
@@ -355,8 +355,6 @@ def valid_column(column, simple: SimpleType):
 
 def lexical_column(column, name: str):
     """Whether text has a type's lexical form, in the JVM; bounds of integers included where they fit a decimal."""
-    from pyspark.sql import functions as F
-
     c = F.btrim(F.regexp_replace(column, "[ \t\r\n]+", " "))
     ok = c.rlike(f"^(?:{LEXICAL[name]})$")
     if name in INTEGERS:

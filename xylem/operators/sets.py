@@ -47,10 +47,10 @@ def renumbered(nodes: DataFrame) -> DataFrame:
     """pre, parent, size and level from the order and parents that are left. Numbers are per document, so each document's rows meet."""
     by = Window.partitionBy("doc_id").orderBy("pre")
     d = nodes.withColumn("__new", (F.row_number().over(by) - 1).cast("int"))
-    up = d.select("doc_id", F.col("pre").alias("__old"), F.col("__new").alias("__parent"))
-    d = d.join(up, (d["doc_id"] == up["doc_id"]) & (d["parent"] == up["__old"]), "left").drop(up["doc_id"]).drop("__old")
-    inside = d.select("doc_id", F.col("pre").alias("__p"))
-    sizes = d.select("doc_id", "pre", "size").join(inside, ["doc_id"]).where((F.col("__p") > F.col("pre")) & (F.col("__p") <= F.col("pre") + F.col("size"))).groupBy("doc_id", "pre").agg(F.count(F.lit(1)).cast("int").alias("__size"))
+    up = d.select(F.col("doc_id").alias("__d"), F.col("pre").alias("__old"), F.col("__new").alias("__parent"))
+    d = d.join(up, (F.col("doc_id") == F.col("__d")) & (F.col("parent") == F.col("__old")), "left").drop("__d", "__old")
+    inside = nodes.select(F.col("doc_id").alias("__d"), F.col("pre").alias("__p"))
+    sizes = nodes.select("doc_id", "pre", "size").join(inside, (F.col("doc_id") == F.col("__d")) & (F.col("__p") > F.col("pre")) & (F.col("__p") <= F.col("pre") + F.col("size"))).groupBy("doc_id", "pre").agg(F.count(F.lit(1)).cast("int").alias("__size"))
     d = d.join(sizes, KEY, "left")
     return d.withColumn("size", F.coalesce("__size", F.lit(0))).withColumn("parent", F.col("__parent")).withColumn("pre", F.col("__new")).select(nodes.columns)
 
