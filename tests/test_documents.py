@@ -171,6 +171,25 @@ def test_relaxng():
             Schema.from_xml(bad)
 
 
+def test_relaxng_compact():
+    text = """
+    default namespace d = "urn:d"
+    namespace x = "urn:x"
+    include "more.rnc" { b = element b { empty } }
+    a.name = attribute \\x{6b} { xsd:int - "3" } | attribute x:* { text }+ [ x:note [ "y" ] ]
+    start |= element z { grammar { start = element q { parent b } } }   # a comment
+    """.replace("\\\\x", "\\x")
+    more = "start |= element d:a { a.name, b*, (element * - d:b { mixed { list { xsd:token+ } | empty } })? }\na.name &= empty\nb = notAllowed\n"
+    more = 'namespace d = "urn:d"\n' + more.replace("a.name &= empty\n", "")
+    v = Validator(Schema.from_compact(text, {"more.rnc": more}))
+    ok = lambda xml: not v.errors(parse(xml).nodes)
+    assert ok("<a xmlns='urn:d' k='4'><b/><b/></a>") and ok("<a xmlns='urn:d' xmlns:x='urn:x' x:p='1' x:q='2'/>") and ok("<z xmlns='urn:d'><q><b/></q></z>")
+    assert not ok("<a xmlns='urn:d' k='3'/>") and not ok("<a k='4'/>") and not ok("<z xmlns='urn:d'/>") and not ok("<a xmlns='urn:d'/>")
+    for bad in ("element a", "element a { b | c, d }", "start = q:x", "a = ", "element p:a { empty }", "\x01"):
+        with pytest.raises(SchemaError):
+            Schema.from_compact(bad)
+
+
 def test_pushed_text_gives_the_events_of_the_whole():
     xml = '<a k="1">te<b/>xt<![CDATA[&]]></a>'
     events, given = [], 0

@@ -1,4 +1,4 @@
-"""RELAX NG: schemas in XML syntax, validation by derivatives.
+"""RELAX NG: schemas in XML or compact syntax, validation by derivatives.
 
 A schema is compiled on the driver to a pattern whose definitions are looked up
 by name, and travels with the job. Validation follows Clark's derivatives: each
@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from xylem.functions import xsd
 from xylem.functions.uri import resolve
+from xylem.operators.relaxng_compact import Compact, CompactError
 from xylem.sources.parser import parse
 
 RNG = "http://relaxng.org/ns/structure/1.0"
@@ -61,7 +62,11 @@ class Schema:
 
     @classmethod
     def from_xml(cls, xml: str, resources: dict[str, str] | None = None, base: str = "") -> Schema:
-        return _Loader(resources or {}).load(xml, base)
+        return _Loader(resources or {}).load(xml, base, False)
+
+    @classmethod
+    def from_compact(cls, text: str, resources: dict[str, str] | None = None, base: str = "") -> Schema:
+        return _Loader(resources or {}).load(text, base, True)
 
 
 _KINDS = {"group": group, "interleave": interleave, "choice": choice}
@@ -71,11 +76,16 @@ class _Loader:
     def __init__(self, resources: dict[str, str]) -> None:
         self.resources, self.scopes, self.definitions, self.grammars = resources, [], {}, 0
 
-    def load(self, xml: str, base: str) -> Schema:
-        start = self.document(xml, base)
-        return Schema(start, self.definitions)
+    def load(self, text: str, base: str, compact: bool) -> Schema:
+        return Schema(self.pattern(self.tree(text, base, compact)), self.definitions)
 
-    def tree(self, xml: str, base: str) -> tuple:
+    def tree(self, xml: str, base: str, compact: bool | None = None) -> dict:
+        """A schema's root element; a name that ends in .rnc tells compact syntax where nothing else does."""
+        if compact if compact is not None else base.endswith(".rnc"):
+            try:
+                return Compact(xml, base).tree
+            except CompactError as e:
+                raise SchemaError(str(e)) from e
         p = parse(xml, base_uri=base)
         if p.errors:
             raise SchemaError(p.errors[0][5])

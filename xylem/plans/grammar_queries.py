@@ -19,6 +19,15 @@ PART_SCHEMA = """<element name="part" ns="urn:part" xmlns="http://relaxng.org/ns
   <element name="name"><text/></element><element name="price" ns=""><data type="decimal"><param name="minExclusive">1000</param></data></element></element>"""
 
 
+ORDER_COMPACT = """
+# the same language
+datatypes xsd = "http://www.w3.org/2001/XMLSchema-datatypes"
+start = element order { attribute id { xsd:long }, attribute status { text }, attribute total { xsd:double }, item+ }
+item = element item { attribute n { xsd:positiveInteger }, attribute part { xsd:integer }, attribute flag { "R" | "A" | "N" },
+  (element price { xsd:double } & element qty { xsd:double { maxInclusive = "48" } } & element note { text }?) }
+"""
+
+
 def rng_valid(spark, sf):
     return validated(order_documents(spark, sf), Schema.from_xml(ORDER_SCHEMA)).select("doc_id", "valid")
 
@@ -27,5 +36,10 @@ def rng_names_and_except(spark, sf):
     return validated(part_documents(spark, sf), Schema.from_xml(PART_SCHEMA)).select("doc_id", "valid")
 
 
+def rnc_valid(spark, sf):
+    return validated(order_documents(spark, sf), Schema.from_compact(ORDER_COMPACT)).select("doc_id", "valid")
+
+
 QUERIES["rng_valid"], SQL["rng_valid"] = rng_valid, f"{ITEMS_SQL} SELECT l_orderkey AS doc_id, max(l_quantity) <= 48 AS valid FROM items GROUP BY 1"
 QUERIES["rng_names_and_except"], SQL["rng_names_and_except"] = rng_names_and_except, "SELECT p_partkey AS doc_id, p_size <> 7 AND p_retailprice > 1000 AS valid FROM part"
+QUERIES["rnc_valid"], SQL["rnc_valid"] = rnc_valid, SQL["rng_valid"]
