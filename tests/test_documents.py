@@ -215,3 +215,27 @@ def test_push_stream(spark, tmp_path):
     for r in spark.sql("SELECT * FROM pushed ORDER BY doc_id, seq").collect():
         got.setdefault(r.doc_id, []).append(r.event)
     assert got == {"d": ["startDocument", "startElement", "characters", "endElement", "endDocument"], "e": ["startDocument", "startElement", "fatalError"]}
+
+
+def test_media_types():
+    from xylem.functions.mediatype import media_type
+
+    m = media_type('Application/Atom+XML; Charset="a\\"b"; v=1')
+    assert (m.top, m.sub, m.suffix, m.is_xml, m.parameters) == ("application", "atom+xml", "xml", True, (("charset", 'a"b'), ("v", "1")))
+    assert media_type("text/xml").is_xml and not media_type("text/html").is_xml and media_type("text") is None and media_type("a/b; c") is None
+
+
+def test_command_line(tmp_path):
+    import io
+
+    from xylem.__main__ import main
+
+    f, s = tmp_path / "a.xml", tmp_path / "s.rnc"
+    f.write_text("<a><b>1</b><b>2</b></a>")
+    s.write_text('element a { element b { "1" }+ }')
+    run = lambda *a: (o := io.StringIO(), main([*map(str, a)], o), o.getvalue())[1:]
+    assert run("xpath", f, "-e", "sum(//b)") == (0, "3\n") and run("xpath", f, "-e", "//b") == (0, "1\n2\n")
+    assert run("show", f) == (0, "<a><b>1</b><b>2</b></a>\n") and run("show", "--c14n", f)[0] == 0 and "startElement" in run("inspect", f)[1]
+    assert run("validate", f, "--relaxng", s) == (1, "text: b\n")
+    f.write_text("<a>")
+    assert run("show", f)[0] == 1
