@@ -20,7 +20,7 @@ def main(argv: list[str] | None = None, out=sys.stdout) -> int:
     a.add_argument("--relaxng", help="validate: a schema, compact if its name ends in .rnc; else the document's own DTD")
     a.add_argument("--expression", "-e", help="xpath: the expression")
     a.add_argument("--namespace", "-n", action="append", default=[], metavar="PREFIX=URI")
-    o = a.parse_args(argv)
+    o = a.parse_intermixed_args(argv)
     if o.file in (None, "-"):
         raw = sys.stdin.buffer.read()
     else:
