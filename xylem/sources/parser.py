@@ -93,7 +93,7 @@ class Parser:
     from there alone and only with ``external``.
     """
 
-    def __init__(self, namespaces: bool = True, coalescing: bool = True, keep_comments: bool = True, resources: dict[str, str] | None = None, external: bool = False, base_uri: str | None = None, expand_entities: bool = True) -> None:
+    def __init__(self, namespaces: bool = True, coalescing: bool = True, keep_comments: bool = True, resources: dict[str, str] | None = None, external: bool = False, base_uri: str | None = None, expand_entities: bool = True, record: bool = True) -> None:
         self.namespaces, self.coalescing, self.keep_comments = namespaces, coalescing, keep_comments
         self.resources, self.external, self.base_uri = resources or {}, external, base_uri
         self.nodes: list[list] = []
@@ -102,6 +102,8 @@ class Parser:
         self.dtd = Dtd()
         self.standalone = None
         self.open: list[int] = []
+        self.leaves: list[list[str] | None] = [None]  # of each open element its text, None once it has a child element
+        self.record = record
         self.scopes: list[dict[str, str]] = [{"xml": XML_NS}]
         self.text: list[str] = []
         self.cdata = False
@@ -133,6 +135,8 @@ class Parser:
         return pre
 
     def event(self, event, ns=None, prefix=None, local=None, qname=None, value=None, attrs=None) -> None:
+        if not self.record:
+            return
         self.events.append((len(self.events), event, ns, prefix, local, qname, value, attrs))
 
     def error(self, code: str, message: str, domain: str = "parser", level: str = "error") -> None:
@@ -145,6 +149,8 @@ class Parser:
             kind = "cdata" if self.cdata and not self.coalescing else "text"
             if len(self.open) > 1:
                 self.row(kind, None, None, None, None, text)
+                if self.leaves[-1] is not None:
+                    self.leaves[-1].append(text)
             self.event("cdata" if kind == "cdata" else "characters", value=text)
 
     def declaration(self, version, encoding, standalone) -> None:
@@ -177,6 +183,8 @@ class Parser:
         ns, prefix, local = self.resolve(name) if self.namespaces else (None, None, name)
         pre = self.row("element", ns, prefix, local, name, None)
         self.open.append(pre)
+        self.leaves[-1] = None
+        self.leaves.append([])
         for p, uri in bound:
             self.row("namespace", None, None, p, p, uri)
         attrs, seen = [], set()
@@ -204,9 +212,9 @@ class Parser:
         pre = self.open.pop()
         node = self.nodes[pre]
         node[1] = len(self.nodes) - 1 - pre
-        inner = self.nodes[pre + 1 :]
-        if all(n[4] in ("text", "cdata", "attribute", "namespace", "comment", "pi") for n in inner):
-            node[9] = "".join(n[9] for n in inner if n[4] in ("text", "cdata"))
+        text = self.leaves.pop()
+        if text is not None:
+            node[9] = "".join(text)
         self.scopes.pop()
         self.event("endElement", node[5], node[6], node[7], node[8])
 

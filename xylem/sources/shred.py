@@ -47,7 +47,7 @@ def per_document(docs: DataFrame, rows_of: Callable[[Parser], list], schema: str
 
 def shred(docs: DataFrame, id_col: str = "doc_id", xml_col: str = "xml", **options) -> DataFrame:
     """The node table. A malformed document gives no nodes; see ``errors``."""
-    return per_document(docs, lambda p: [] if any(e[0] == "fatal error" for e in p.errors) else p.nodes, NODE_SCHEMA, id_col, xml_col, options)
+    return per_document(docs, lambda p: [] if any(e[0] == "fatal error" for e in p.errors) else p.nodes, NODE_SCHEMA, id_col, xml_col, {"record": False} | options)
 
 
 def events(docs: DataFrame, id_col: str = "doc_id", xml_col: str = "xml", **options) -> DataFrame:
