@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from xylem.operators import sets
+from xylem.operators.storage import written
 from xylem.plans.planner import Planner
 from xylem.sources.fixtures import ITEMS_SQL, order_documents, part_documents, region_documents
 from xylem.sources.shred import shred
@@ -17,16 +18,27 @@ SQL: dict[str, str] = {}
 NS = {"p": "urn:part"}
 
 
+_TABLES: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def node_table(spark, sf: str, documents) -> DataFrame:
+    """The documents' node table, shredded and written once a session: later steps and queries scan only its columns and kinds of node."""
+    key = (spark.sparkContext.applicationId, sf, documents.__name__)
+    if key not in _TABLES:
+        _TABLES[key] = written(shred(documents(spark, sf)), documents.__name__)
+    return _TABLES[key]
+
+
 def orders(spark, sf):
-    return Planner(shred(order_documents(spark, sf)))
+    return Planner(node_table(spark, sf, order_documents))
 
 
 def regions(spark, sf):
-    return Planner(shred(region_documents(spark, sf)))
+    return Planner(node_table(spark, sf, region_documents))
 
 
 def parts(spark, sf):
-    return Planner(shred(part_documents(spark, sf)), NS)
+    return Planner(node_table(spark, sf, part_documents), NS)
 
 
 def register(name: str, query, sql: str) -> None:
