@@ -9,14 +9,23 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_ROWS = 1000
 #: A word, as Java and Python regular expressions both read it.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows of an Arrow batch, for texts of any length: what a worker and its JVM hold at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; a local one only where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -32,6 +41,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     The copy outlives any executor. It stays until the folder is cleared.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -30,7 +30,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of a chunk, and of a text that is not cut.
 CHUNK = 1 << 15
 #: Words remembered by a worker.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 SPACE = "▁"
 #: A word with the spaces before it; line feeds are in no piece, so they part words too.
 WORDS = re.compile("\n|[▁]*[^▁\n]+|[▁]+")

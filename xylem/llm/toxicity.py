@@ -139,14 +139,15 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def evidence_column(docs: DataFrame, text_col: str, keep: list[str], held) -> DataFrame:
-    """``keep`` columns and ``__evidence`` of each text."""
-    slim = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
+    """``keep`` columns and ``__evidence`` of each text; a text among them is sent once."""
+    at = keep.index(text_col) if text_col in keep else len(keep)
+    slim = docs.select(*keep) if text_col in keep else docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
     schema = docs.select(*keep).schema.add("__evidence", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, table, model = Hasher(), separators(True), held.value
         for batch in batches:
-            texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(len(keep)).to_pylist()]
+            texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(evidence(texts, model, hasher, table))], [*keep, "__evidence"])
 
     return slim.mapInArrow(run, schema)
@@ -188,5 +189,4 @@ def without_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = THRE
     names = docs.columns
     d = docs.select(*[F.col(c).alias(f"__c{i}") for i, c in enumerate(names)])
     text = f"__c{names.index('text')}"
-    d = d.withColumn("__t", F.col(text))
-    return model.score(d, text_col="__t").where(F.col("score") < threshold).select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(names)])
+    return model.score(d, text_col=text, keep=d.columns).where(F.col("score") < threshold).select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(names)])
