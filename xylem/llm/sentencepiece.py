@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read_table, written
+from .common import give_back, read_table, written
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of a chunk, and of a text that is not cut.
@@ -281,6 +281,7 @@ def encoded(docs: DataFrame, keep: list[str], text_col: str = "text", model: str
                 ids = enc.encode([escaped(t) for t in texts])
                 ok = [enc.decode(i) == t for i, t in zip(ids, texts, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(list(map(len, texts)), pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(ok)], [*names, *last])
+        give_back()
 
     small = d.where(F.length("text") <= chunk).mapInArrow(short, result)
     cut_schema = T.StructType([*kept.fields, *T._parse_datatype_string("row string, k int, n_chars long, s string, lo int, hi int").fields])
