@@ -74,6 +74,26 @@ def test_toxicity_finds_planted_expressions(spark):
     assert kept.columns == ["doc_id", "text", "score"] and {1000, 1001} <= {r.doc_id for r in kept.collect()}
 
 
+def test_toxicity_keeps_long_clean_texts(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.ToxicityModel(docs, labels)
+    singly = model.score(docs.join(labels, "doc_id").where((F.col("toxic") == 0) & (remainder("doc_id", 4) == 2)), keep=["doc_id", "text"])
+    clean = [r.text for r in singly.where("score < 0.3").orderBy("doc_id").collect()]
+    long_ = spark.createDataFrame([(n, " ".join(clean[:n])) for n in (20, 40, len(clean))], "doc_id long, text string")
+    assert len(clean) > 40 and all(r.score < 0.3 for r in model.score(long_).collect())
+
+
+def test_toxicity_hears_every_expression():
+    evidence = {b"bad": 3.0, b"sly": 1.0}
+    cell = lambda w: toxicity.cells([w], Hasher(), separators(True))[0][:, 0]
+    model = [(np.zeros(1 << toxicity.CELL_BITS, np.float32), np.zeros(1 << toxicity.CELL_BITS, np.float32)) for _ in toxicity.LEVELS]
+    for w, x in evidence.items():
+        model[1][0][cell(w)[1]] = x
+    texts = [b"bad bad " + t for t in (b"one two six", b"one two sly", b"one sly sly", b"sly sly sly")]
+    got = toxicity.evidence(texts, model, Hasher(), separators(True))
+    assert (np.diff(got) > 0).all()
+
+
 def test_toxicity_without_labels(spark, documents, no_documents):
     model = toxicity.ToxicityModel(documents, spark.createDataFrame([], "doc_id long, toxic int"))
     assert all(r.score < 0.3 for r in model.score(documents, keep=["doc_id"]).collect())
