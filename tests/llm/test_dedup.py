@@ -110,6 +110,16 @@ def test_simhash_with_nulls_and_repeats(documents):
     assert len(ids) == len(set(ids)) == len({r["__class"] for r in got})
 
 
+def test_one_of_each_class_stays_whatever_the_ids(spark):
+    rng = random.Random(3)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(80))
+    own, shared, twin = [text() for _ in range(6)], [text() for _ in range(2)], text()
+    rows = [(None, t) for t in own] + [(None, own[0])] * 2 + [(1, shared[0]), (1, shared[1]), (1, shared[1]), (None, twin), (2, twin), (3, None), (None, "")]
+    got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = [(None, t) for t in own] + [(1, t) for t in shared] + [(2, twin), (3, None)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 def test_crowded_keys_lose_no_link(spark):
     rng, fps = random.Random(1), set()
     for base in [rng.getrandbits(64) for _ in range(3)]:

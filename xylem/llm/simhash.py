@@ -89,6 +89,14 @@ def links(fps: DataFrame) -> DataFrame:
     return pairs.union(around).distinct()
 
 
+def grouped(d: DataFrame, least: Column) -> tuple[DataFrame, DataFrame]:
+    """(fp, component) of each distinct ``__fp`` of ``d``, and (component, least): the least value of ``least`` in each component."""
+    fps = written(d.groupBy(F.col("__fp").alias("fp")).agg(F.min(least).alias("least")), "simhash-distinct")
+    of = components(links(fps.select("fp")))
+    group = fps.join(of, fps["fp"] == of["node"], "left").select("fp", F.coalesce("component", "fp").alias("component"), "least")
+    return group.select("fp", "component"), group.groupBy("component").agg(F.min("least").alias("least"))
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (default: the id), ``__fp`` and ``__class``, the least id reachable over links.
 
@@ -98,11 +106,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     """
     keep = [id_col] if keep is None else keep
     d = written(with_fingerprint(docs, text_col, keep), "simhash")
-    fps = written(d.groupBy(F.col("__fp").alias("fp")).agg(F.min(id_col).alias("least")), "simhash-distinct")
-    of = components(links(fps.select("fp")))
-    group = fps.join(of, fps["fp"] == of["node"], "left").select("fp", F.coalesce("component", "fp").alias("component"), "least")
-    least = group.groupBy("component").agg(F.min("least").alias("__class"))
-    named = group.join(least, "component").select(F.col("fp").alias("__fp"), "__class")
+    group, least = grouped(d, F.col(id_col))
+    named = group.join(least, "component").select(F.col("fp").alias("__fp"), F.col("least").alias("__class"))
     return d.join(named, "__fp")
 
 
@@ -112,8 +117,15 @@ def op9(spark, sf_dir):
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with only the row of least id of each class; columns as they were. Of rows that repeat that id, one stays."""
-    kept = classes(docs).where(F.col("doc_id").eqNullSafe(F.col("__class"))).select(F.col("doc_id").alias("__id")).distinct()
-    d = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]), "left_semi")
-    repeated = d.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
-    return d.dropDuplicates(["doc_id"]) if repeated else d
+    """``docs`` with one row of each class: of least id, null ids last, and then of least digest of the text; columns as they were.
+
+    Of rows that repeat that id and text, one stays. An id stays more than once
+    if texts of different classes have it.
+    """
+    digest = F.coalesce(F.md5(docs["text"].cast("binary")), F.lit(""))
+    d = written(with_fingerprint(docs.select("doc_id", "text", digest.alias("__digest")), "text", ["doc_id", "__digest"]), "simhash")
+    least = grouped(d, F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__digest").alias("digest")))[1]
+    kept = least.select(F.col("least.id").alias("__id"), F.col("least.digest").alias("__digest"))
+    d = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]) & (digest == kept["__digest"]), "left_semi")
+    repeated = d.groupBy("doc_id", digest).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+    return d.dropDuplicates(["doc_id", "text"]) if repeated else d
