@@ -74,6 +74,33 @@ def test_toxicity_finds_planted_expressions(spark):
     assert kept.columns == ["doc_id", "text", "score"] and {1000, 1001} <= {r.doc_id for r in kept.collect()}
 
 
+@pytest.mark.parametrize("text", ["", " a ", "donaudampfschifffahrtsgesellschaft kurz", "这是一个没有空格的句子吗", "ภาษาไทย“word”漢字ok", "x" * 40 + "привет, превосходительство"])
+def test_toxicity_expressions_cover_every_byte(text):
+    buf, table = np.frombuffer(text.encode() + b"\n", np.uint8), separators(True)
+    s, e = toxicity.pieces(buf, table)
+    covered = np.zeros(len(buf), bool)
+    for a, b in zip(s, np.minimum(s + toxicity.LEVELS[-1], e), strict=True):
+        covered[a:b] = True
+    assert (covered == ~table[buf]).all() and len(set(s.tolist())) == len(s)
+
+
+def test_toxicity_finds_expressions_in_long_runs(spark):
+    rng = np.random.default_rng(5)
+    hanzi, parts = [chr(0x4E00 + i) for i in range(60)], ["haus", "boot", "fahrt", "wagen", "licht", "stein", "kraft"]
+    rows = []
+    for i in range(400):
+        run, word = list(rng.choice(hanzi, 30)), list(rng.choice(parts, 6))
+        if i % 5 == 0:
+            run[rng.integers(8, 28)] = "鬱龘"
+            word[rng.integers(3, 6)] = "snarlgrok"
+        rows.append((i, "".join(run if i % 2 else word), int(i % 5 == 0)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = toxicity.ToxicityModel(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    held = {r.doc_id: r.score for r in model.score(docs).collect() if zlib.crc32(str(r.doc_id).encode()) % 4 == 2}
+    for odd in (0, 1):
+        assert np.mean([(s >= 0.3) == (i % 5 == 0) for i, s in held.items() if i % 2 == odd]) > 0.9
+
+
 def test_toxicity_keeps_long_clean_texts(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     model = toxicity.ToxicityModel(docs, labels)

@@ -1,7 +1,9 @@
 """Toxicity from class-conditional Kneser-Ney models of expressions.
 
-Toxic and ordinary documents each have a Kneser-Ney model of words, spelt as a
-chain of prefixes. At every link the class's discounted count is interpolated
+Toxic and ordinary documents each have a Kneser-Ney model of expressions, spelt
+as a chain of prefixes. A word of up to 12 bytes is an expression; in longer runs,
+and in scripts without spaces, one begins at every character, so that every byte
+of a text is in some expression. At every link the class's discounted count is interpolated
 with the counts both classes share, so that a rare or new form of a known stem
 is judged by the stem, and one that neither class knows says nothing. An
 expression's evidence is the difference of its two log-likelihoods. A document's
@@ -28,6 +30,8 @@ from .words import Hasher, groups, joined, lower_ascii, mix, separators, spans
 
 #: Bytes of the prefixes that make up the chain.
 LEVELS = (2, 3, 4, 5, 6, 8, 12)
+#: Characters of at least so large a first byte (three bytes or more, most unspaced scripts) begin expressions of their own.
+WIDE = 0xE0
 #: Each level's prefixes are counted in so many cells (bits).
 CELL_BITS = 20
 DISCOUNT, SHARED_MASS = 1.5, 50.0
@@ -38,11 +42,27 @@ SAMPLE = 4000
 THRESHOLD = 0.3
 
 
+def pieces(buf: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where expressions begin and their runs end: every run's begin; in runs longer than the last level every character; every wide character and the one after it."""
+    s, e = spans(buf, table)
+    edge = np.zeros(len(buf), np.int8)
+    long_ = e - s > LEVELS[-1]
+    edge[s[long_]], edge[e[long_]] = 1, -1
+    whole = np.cumsum(edge, dtype=np.int8).view(bool)
+    wide = np.flatnonzero(buf >= WIDE)
+    whole[wide] = True
+    whole[wide + 3 + (buf[wide] >= 0xF0)] = True
+    whole &= ((buf & 0xC0) != 0x80) & ~table[buf]
+    whole[s] = True
+    begins = np.flatnonzero(whole)
+    return begins, e[np.searchsorted(s, begins, "right") - 1]
+
+
 def cells(texts: list[bytes], hasher: Hasher, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(levels x words) cells, and each word's text."""
+    """(levels x expressions) cells, and each expression's text."""
     buf, begins = joined(texts)
     buf = lower_ascii(buf)
-    s, e = spans(buf, table)
+    s, e = pieces(buf, table)
     hashed = hasher.hashes(buf, s, *(np.minimum(s + k, e) for k in LEVELS))
     for row, k in zip(hashed, LEVELS, strict=True):
         row[:] = mix(row + np.uint64(k)) >> np.uint64(64 - CELL_BITS)
