@@ -153,6 +153,42 @@ def test_lm_probabilities_sum_to_one():
     assert abs(np.exp(-cost.astype(float)).sum() - 1) < 1e-4
 
 
+def test_lm_contexts_are_counted_exactly(documents):
+    learns, documents = remainder("doc_id", 7) != 2, documents.where("text IS NULL OR length(text) < 3000")
+    chunks = lm_scoring.flags(lm_scoring.packed_chunks(documents.withColumn("l", learns), ["l"], "text", "doc_id")).localCheckpoint()
+    rows = [((r.text or "").encode(), r.learns) for r in documents.select("text", learns.alias("learns")).collect()]
+    tree, hasher = lm_scoring.Tree(np.bincount(lm_scoring.streams([t for t, _ in rows])[0], minlength=256)), Hasher()
+    asked = [t for t, _ in rows]
+    keys, places = lm_scoring.text_pairs(asked, hasher, tree)
+    found = lm_scoring.context_totals(chunks, tree, 4, keys).where("chunk = ''").collect()
+    counts = lm_scoring.read_levels(keys, [(r.r, r.found) for r in found], 4, tree, np.int64, 2)
+
+    def walk(texts):
+        buf, begins, ends = lm_scoring.streams(texts)
+        for a, b in zip(begins.tolist(), ends.tolist()):
+            for p in range(a, b):
+                past = bytes(buf[a - 4 : p])
+                for k, context in enumerate((past[-2:], past[-4:], re.split(rb"[ \n]", past)[-1])):
+                    yield p, k, context, int(buf[p])
+
+    want = Counter()
+    for _, k, context, byte in walk([t for t, learn in rows if learn]):
+        for level in range(tree.depth[byte]):
+            want[k, context, int(tree.node[level, byte]), bool(tree.turn[level, byte])] += 1
+    for p, k, context, byte in walk(asked):
+        for level in range(tree.depth[byte]):
+            got = counts[level][:, places[k][p]].tolist()
+            assert got == [want[k, context, int(tree.node[level, byte]), turn] for turn in (False, True)]
+
+
+def test_lm_scores_do_not_depend_on_table_sizes(documents, monkeypatch):
+    docs, learns = documents.where("doc_id < 60"), remainder("doc_id", 7) != 2
+    score = lambda: sorted((r.doc_id, r.n_tokens, round(r[-1], 6)) for r in lm_scoring.scores(docs.select("doc_id", "text"), learns, ["doc_id"]).collect())
+    want = score()
+    monkeypatch.setattr(lm_scoring, "ORDERS", tuple((name, 6) for name, _ in lm_scoring.ORDERS))
+    assert score() == want
+
+
 def test_lm_beats_the_base_on_held_out_texts(spark):
     held = [r for r in lm_scoring.op6(spark, SF).collect() if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
