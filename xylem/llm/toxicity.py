@@ -1,6 +1,6 @@
-"""Toxicity from class-conditional Kneser-Ney models of expressions.
+"""Toxicity from class-conditional models of expressions, by interpolated absolute discounting.
 
-Toxic and ordinary documents each have a Kneser-Ney model of expressions, spelt
+Toxic and ordinary documents each have a model of expressions, spelt
 as a chain of prefixes. A word of up to 12 bytes is an expression; in longer runs,
 and in scripts without spaces, one begins at every character, so that every byte
 of a text is in some expression. At every link the class's discounted count is interpolated
