@@ -153,11 +153,7 @@ def lm_model(texts):
     tree = lm_scoring.Tree(np.bincount(np.frombuffer(spelt, np.uint8), minlength=256))
     spelling = lm_scoring.Spelling(spelt, tree, Hasher())
     times = np.array([*(words[w] for w in order), len(texts)])
-    counts = []
-    for at, own, other in lm_scoring.node_counts(spelling.keys, spelling.pair_counts(times), tree):
-        counts.append(np.zeros((2, len(spelling.keys)), np.uint8))
-        counts[-1][:, at] = lm_scoring.coded(own), lm_scoring.coded(other)
-    return order, times, tree, spelling, counts
+    return order, times, tree, spelling, lm_scoring.own_counts(spelling, times, tree)
 
 
 def test_lm_probabilities_sum_to_one():
@@ -168,10 +164,7 @@ def test_lm_probabilities_sum_to_one():
     spelt = b"".join(w + b" " for w in every) + b"\n"
     spelling = lm_scoring.Spelling(spelt, tree, Hasher())
     totals = rng.integers(0, 40, len(spelling.keys))
-    counts = []
-    for at, own, other in lm_scoring.node_counts(spelling.keys, totals, tree):
-        counts.append(np.zeros((2, len(spelling.keys)), np.uint8))
-        counts[-1][:, at] = lm_scoring.coded(own), lm_scoring.coded(other)
+    counts = lm_scoring.codes_of(spelling.keys, totals, tree)
     mixer = lm_scoring.Mixer(rng.uniform(0.1, 0.6, (lm_scoring.GATES, len(lm_scoring.ORDERS))))
     cost = mixer.costs(spelling, counts, tree)
     begins = np.concatenate(([0], spelling.ends[:-1] + 1))
@@ -204,8 +197,7 @@ def test_lm_edges_and_counts_are_brute_force(documents):
                 for level in range(tree.depth[byte]):
                     key = (order, context, int(tree.node[level, byte]))
                     turn = bool(tree.turn[level, byte])
-                    both = lm_scoring.coded(np.array([want[*key, turn], want[*key, not turn]]))
-                    assert counts[level][:, spelling.places[order][edge]].tolist() == both.tolist()
+                    assert counts[level][spelling.places[order][edge]] == lm_scoring.both(*(np.array([want[*key, t]]) for t in (turn, not turn)))[0]
         at += len(body)
 
 
@@ -215,7 +207,7 @@ def test_lm_counts_come_back_from_ranges(documents, monkeypatch):
     docs = documents.where("text IS NULL OR length(text) < 3000")
     chunks = lm_scoring.written(lm_scoring.vocabularies(docs, ["doc_id"], F.lit(True), "text"), "test-chunks")
     words, times, tree, spelling, counts = lm_model([(r.text or "").encode() for r in docs.select("text").collect()])
-    of_key = {k: [c[:, i].tolist() for c in counts] for i, k in enumerate(spelling.keys.tolist())}
+    of_key = {k: [c[i] for c in counts] for i, k in enumerate(spelling.keys.tolist())}
     of_word = dict(zip([*words, b""], times.tolist()))
     rows = lm_scoring.totals(chunks, tree, 4, 53).join(chunks.select("chunk", "spelt"), "chunk", "left").collect()
     assert len(rows) > 3 and sum(r.words for r in rows if not r.chunk) == len(words) + 1 - (b"" in words)
@@ -228,7 +220,7 @@ def test_lm_counts_come_back_from_ranges(documents, monkeypatch):
         codes = lm_scoring.read_codes(own.keys, r.found, 4, tree, tool)
         depth = tree.depth_of(own.keys)
         for i, k in enumerate(own.keys.tolist()):
-            assert [c[:, i].tolist() for c in codes[: depth[i]]] == of_key[k][: depth[i]]
+            assert [c[i] for c in codes[: depth[i]]] == of_key[k][: depth[i]]
         n = lm_scoring.read_times(lm_scoring.word_keys(spelt, Hasher()), r.found, 4, tool)
         assert n[:-1].tolist() == [of_word[w] for w in spelt[:-1].split()]
 
@@ -246,6 +238,18 @@ def test_lm_bits_of_held_out_texts(spark):
     assert 2 < np.mean([r.bits_per_byte for r in held]) < 2.45
 
 
+def test_lm_words_are_split_at_ascii_white_space(spark):
+    odd = "".join(map(chr, range(1, 128))) + " Ünï\u00a0cödé\x85漢\u3000字 É"
+    docs = spark.createDataFrame([(odd,), (" ",), ("",), (None,), ("a  b\n",)], "text string").coalesce(1)
+    r = lm_scoring.vocabularies(docs, ["text"], F.lit(True), "text").collect()[0]
+    tool = lm_scoring.zstandard.ZstdDecompressor()
+    words = tool.decompress(bytes(r.spelt))[:-1].split(b" ")[:-1]
+    want = [lm_words(t) for t in (odd, " ", "", None, "a  b\n")]
+    tokens = [words[i] for i in lm_scoring.opened(bytes(r.tokens), np.uint32, tool)]
+    assert words == sorted({w for t in want for w in t}) and tokens == [w for t in want for w in t]
+    assert np.frombuffer(r.sizes, np.int64).tolist() == list(map(len, want))
+
+
 @pytest.mark.parametrize("n", [np.arange(100), np.array([5, 4095, 4096, 10**6, 10**9])])
 def test_lm_codes_keep_counts(n):
     back = lm_scoring._COUNT[lm_scoring.coded(n)]
