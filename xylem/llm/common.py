@@ -7,10 +7,12 @@ import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch, for rows that are small enough.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 #: A word, as Java and Python regular expressions both read it.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -21,17 +23,24 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Rows of an Arrow batch, for texts of any length: what a worker and its JVM hold at once."""
+    """Rows and bytes of an Arrow batch, for texts of any length: what a worker and its JVM hold at once."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def give_back() -> None:
-    """Return freed memory to the system, where the C library can: a worker outlives its tasks."""
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
+    """Return freed memory to the system, where the C library can: a worker outlives its tasks.
+
+    From the first call on, arrays of over 4 MB have pages of their own, which go as the array does.
+    """
+    library = ctypes.CDLL(None)
+    if hasattr(library, "mallopt"):
+        library.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD
+    pa.default_memory_pool().release_unused()
+    if hasattr(library, "malloc_trim"):
+        library.malloc_trim(0)
 
 
 def scratch_dir(spark: SparkSession) -> str:

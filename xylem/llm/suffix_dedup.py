@@ -10,13 +10,15 @@ kept behind). In the order of the work:
    dropped. This is one step of prefix doubling: such suffixes are told apart
    by their first K bytes, so no more of them need be exchanged.
 3. Every chunk sorts the suffixes that are left and sends them front-coded, a
-   run for each range of hashes. Equal ones travel once a run. K-grams common
+   run for each range of hashes. Equal ones travel once a run, with their least and greatest
+   id, and their places stay at home. K-grams common
    enough to crowd a range send each 50-byte string on its own, under its own hash.
 4. Every range merges its runs with a loser tree whose nodes hold common
    prefix lengths: bytes known to agree are never compared again. Stretches
    that share a K-gram come out together; each of their strings gets the
    smallest document it starts in.
-5. What is covered goes back to the chunks, which cut it out.
+5. Which suffixes are covered, and from which id on, goes back to the chunks,
+   which find their places anew and cut them out.
 """
 
 from __future__ import annotations
@@ -31,8 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .chunks import NO_ID, opened, packed_chunks, ranges_of
-from .common import read_table, written
+from .chunks import NO_ID, opened, packed_chunks, range_bits
+from .common import give_back, read_table, written
 from .words import mix
 
 LENGTH, K = 50, 20
@@ -40,6 +42,8 @@ LENGTH, K = 50, 20
 BLOCK = 1 << 16
 #: A K-gram is common if one chunk has it this often, or this many chunks have it.
 COMMON, COMMON_CHUNKS = 1024, 4096
+#: Bytes of text that a range of hashes stands for, rows handled at once, and bytes of text handed on at once.
+RANGE_TEXT, SLICE, OUT_BYTES = 8 << 20, 1 << 14, 1 << 20
 #: Bytes of hash before a suffix; a suffix with its left context and length.
 HASH_BYTES, WIDE = 3, 2 * LENGTH - K + 1
 _B = 0x9E3779B97F4A7C15
@@ -113,7 +117,7 @@ def sorted_keys(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def shared_kgrams(chunks: DataFrame, bits: int) -> DataFrame:
-    """(chunk, found): per chunk, ranges and for each of its distinct K-grams there 0, 1 (in several documents) or 2 (common)."""
+    """(chunk, codes): per chunk, ranges and for each of its distinct K-grams there 0, 1 (in several documents) or 2 (common)."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
@@ -127,6 +131,7 @@ def shared_kgrams(chunks: DataFrame, bits: int) -> DataFrame:
                 to = (key >> np.uint64(64 - bits)).astype(np.int64)
                 low = (key << np.uint64(bits)).byteswap().view(np.uint8).reshape(-1, 8)[:, :5]  # 40 more bits
                 cut = np.searchsorted(to, np.arange((1 << bits) + 1))
+                del h, doc, order, begin, end, several, key, to
                 rows = [(r, low[a:b].tobytes(), squeeze.compress(code[a:b].astype(np.uint8).tobytes())) for r, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if b > a]
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), pa.array([chunk] * len(rows), pa.string()), pa.array([x[1] for x in rows], pa.binary()), pa.array([x[2] for x in rows], pa.binary())], ["r", "chunk", "keys", "codes"])
 
@@ -152,103 +157,109 @@ def shared_kgrams(chunks: DataFrame, bits: int) -> DataFrame:
 
     sent = chunks.select("chunk", "blob", "sizes").mapInArrow(send, "r int, chunk string, keys binary, codes binary")
     met = sent.groupBy("r").applyInArrow(meet, "chunk string, r int, codes binary")
-    return met.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("r", "codes"))).alias("found"))
+    return met.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("r", "codes"))).alias("codes"))
+
+
+def suffixes(buf: np.ndarray, begins: np.ndarray, codes: list[dict]) -> tuple[np.ndarray, ...]:
+    """What a chunk has to compare: as ``stretches``, of K-grams that several documents have; each string of a common one on its own."""
+    opener = zstandard.ZstdDecompressor()
+    first, last, at, h, doc = stretches(buf, begins)
+    order, begin, end = sorted_keys(h)
+    code = np.frombuffer(b"".join(opener.decompress(f["codes"]) for f in codes or ()), np.uint8)
+    each = np.empty(len(h), np.uint8)
+    each[order] = np.repeat(code, end - begin)
+    crowd = np.flatnonzero(each == 2)
+    n = last[crowd] - first[crowd] + 1
+    alone = np.repeat(first[crowd] - (np.cumsum(n) - n), n) + np.arange(n.sum())  # each string of a common K-gram
+    some = each == 1
+    lone_hash = np.empty(0, np.uint64)
+    if len(alone):
+        lone_hash = np.zeros(len(alone), np.uint64)
+        for i in range(LENGTH):
+            lone_hash = lone_hash * np.uint64(_B) + buf[alone + i]
+        lone_hash = mix(lone_hash)
+    return tuple(np.concatenate(x) for x in ((first[some], alone), (last[some], alone), (at[some], alone), (h[some], lone_hash), (doc[some], np.repeat(doc[crowd], n))))
+
+
+class Arranged:
+    """Suffixes in order, equal ones together, by range of hashes."""
+
+    def __init__(self, buf: np.ndarray, first: np.ndarray, last: np.ndarray, at: np.ndarray, h: np.ndarray, bits: int) -> None:
+        right, wide = last + LENGTH - at, HASH_BYTES + WIDE
+        top = (h >> np.uint64(64 - bits)).astype(np.int64)
+        matrix = np.zeros((len(h), wide), np.uint8)
+        matrix[:, :HASH_BYTES] = (h << np.uint64(bits)).byteswap().view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES]
+        column = np.arange(WIDE - 1)
+        for lo in range(0, len(h), SLICE):
+            s = slice(lo, lo + SLICE)
+            source = np.where(column < right[s, None], at[s, None] + column, first[s, None] + column - right[s, None])
+            used = column < (last[s] + LENGTH - first[s])[:, None]
+            matrix[s, HASH_BYTES:-1] = np.where(used, buf[np.minimum(source, len(buf) - 1)], 0)
+        matrix[:, -1] = right  # not 0, so that what a row holds has no trailing zeros
+        order = np.argsort(matrix.view(f"S{wide}").ravel(), kind="stable")
+        order = order[np.argsort(top[order], kind="stable")]
+        common = np.zeros(len(h), np.uint8)
+        for lo in range(1, len(h), SLICE):
+            hi = min(lo + SLICE, len(h))
+            rows = matrix[order[lo - 1 : hi]]
+            differ = rows[1:] != rows[:-1]
+            common[lo:hi] = np.where(differ.any(1), differ.argmax(1), wide)
+        top = top[order]
+        common[1:][top[1:] != top[:-1]] = 0
+        #: The occurrences in order, and where those of each distinct suffix begin and end.
+        self.order, self.begin = order, np.flatnonzero(common < wide)
+        self.end = np.append(self.begin[1:], len(order))
+        self.matrix, self.lcp = matrix, common[self.begin]
+        self.size = (HASH_BYTES + (last + LENGTH - first)[order[self.begin]]).astype(np.uint8)
+        self.cut = np.searchsorted(top[self.begin], np.arange((1 << bits) + 1))
+
+    def coded(self, a: int, b: int) -> bytes:
+        """The distinct suffixes from ``a`` to ``b``, front-coded."""
+        tail, rows = np.arange(self.matrix.shape[1]), self.matrix[self.order[self.begin[a:b]]]
+        lcp, size = self.lcp[a:b], self.size[a:b]
+        sent = (tail >= lcp[:, None]) & (tail < size[:, None])
+        return np.stack([np.minimum(lcp, size), size, rows[:, -1]], 1).tobytes() + rows[sent].tobytes()
 
 
 def runs(chunks: DataFrame, bits: int) -> DataFrame:
-    """(r, chunk, n, coded, rows): every chunk's sorted, front-coded suffixes for each range."""
+    """(r, chunk, n, coded, ids): every chunk's sorted, front-coded suffixes for each range, each once with the least and greatest id it has there."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze, opener = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+        squeeze = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            for chunk, ids, blob, sizes, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for chunk, ids, blob, sizes, codes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 buf, begins = opened(blob, sizes)
-                first, last, at, h, doc = stretches(buf, begins)
-                order, begin, end = sorted_keys(h)
-                code = np.frombuffer(b"".join(opener.decompress(f["codes"]) for f in found or ()), np.uint8)
-                each = np.empty(len(h), np.uint8)
-                each[order] = np.repeat(code, end - begin)
-                crowd = np.flatnonzero(each == 2)
-                n = last[crowd] - first[crowd] + 1
-                alone = np.repeat(first[crowd] - (np.cumsum(n) - n), n) + np.arange(n.sum())  # each string of a common K-gram
-                some = each == 1
-                lone_hash = np.empty(0, np.uint64)
-                if len(alone):
-                    lone_hash = np.zeros(len(alone), np.uint64)
-                    for i in range(LENGTH):
-                        lone_hash = lone_hash * np.uint64(_B) + buf[alone + i]
-                    lone_hash = mix(lone_hash)
-                first, last, at, h, doc = (np.concatenate(x) for x in ((first[some], alone), (last[some], alone), (at[some], alone), (h[some], lone_hash), (doc[some], np.repeat(doc[crowd], n))))
-                if not len(h):
-                    continue
-                yield coded_runs(chunk, np.frombuffer(ids, np.int64), buf, begins, first, last, at, h, doc, bits, squeeze)
-
-    schema = "r int, chunk string, n int, coded binary, rows binary"
-    return chunks.select("chunk", "ids", "blob", "sizes", "found").mapInArrow(send, schema)
-
-
-def coded_runs(chunk, ids, buf, begins, first, last, at, h, doc, bits, squeeze) -> pa.RecordBatch:
-    right = last + LENGTH - at
-    wide = HASH_BYTES + WIDE
-    top = (h >> np.uint64(64 - bits)).astype(np.int64)
-    matrix = np.zeros((len(h), wide), np.uint8)
-    matrix[:, :HASH_BYTES] = (h << np.uint64(bits)).byteswap().view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES]
-    column = np.arange(WIDE - 1)
-    for lo in range(0, len(h), 1 << 16):
-        s = slice(lo, lo + (1 << 16))
-        source = np.where(column < right[s, None], at[s, None] + column, first[s, None] + column - right[s, None])
-        used = column < (last[s] + LENGTH - first[s])[:, None]
-        matrix[s, HASH_BYTES:-1] = np.where(used, buf[np.minimum(source, len(buf) - 1)], 0)
-    matrix[:, -1] = right  # not 0, so that what a row holds has no trailing zeros
-    text = matrix.view(f"S{wide}").ravel()
-    order = np.argsort(text, kind="stable")
-    order = order[np.argsort(top[order], kind="stable")]
-    m, top = matrix[order], top[order]
-    differ = m[1:] != m[:-1]
-    common = np.where(differ.any(1), differ.argmax(1), wide)
-    common[top[1:] != top[:-1]] = 0
-    common = np.concatenate(([0], common))
-    begin = np.flatnonzero((common < wide))
-    times = np.diff(np.append(begin, len(order)))
-    m, lcp, top_of = m[begin], common[begin], top[begin]
-    size = HASH_BYTES + (last + LENGTH - first)[order[begin]]
-    who = doc[order]
-    rows = []
-    cut = np.searchsorted(top_of, np.arange((1 << bits) + 1))
-    row_end = np.append(begin, len(order))
-    tail = np.arange(wide)
-    for r, (a, b) in enumerate(zip(cut, cut[1:], strict=False)):
-        if b == a:
-            continue
-        sent = (tail >= lcp[a:b, None]) & (tail < size[a:b, None])
-        lo, hi = row_end[a], row_end[b]
-        head = np.stack([np.minimum(lcp[a:b], size[a:b]), size[a:b], m[a:b, -1]], 1).astype(np.uint8)
-        coded = head.tobytes() + times[a:b].astype(np.uint32).tobytes() + m[a:b][sent].tobytes()
-        places = ids[who[lo:hi]].tobytes() + who[lo:hi].astype(np.uint32).tobytes() + (first[order[lo:hi]] - begins[who[lo:hi]]).astype(np.uint32).tobytes()
-        rows.append((r, int(b - a), squeeze.compress(coded), squeeze.compress(places)))
-    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), pa.array([chunk] * len(rows)), pa.array([x[1] for x in rows], pa.int32()), pa.array([x[2] for x in rows], pa.binary()), pa.array([x[3] for x in rows], pa.binary())], ["r", "chunk", "n", "coded", "rows"])
+                first, last, at, h, doc = suffixes(buf, begins, codes)
+                if len(h):
+                    got = Arranged(buf, first, last, at, h, bits)
+                    id_ = np.frombuffer(ids, np.int64)[doc[got.order]]
+                    least, most = np.minimum.reduceat(id_, got.begin), np.maximum.reduceat(id_, got.begin)
+                    some = [(r, a, b) for r, (a, b) in enumerate(zip(got.cut.tolist(), got.cut[1:].tolist(), strict=False)) if b > a]
+                    coded = [squeeze.compress(got.coded(a, b)) for _, a, b in some]
+                    bounds = [squeeze.compress(least[a:b].tobytes() + (most[a:b] - least[a:b]).tobytes()) for _, a, b in some]
+                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in some], pa.int32()), pa.array([chunk] * len(some)), pa.array([b - a for _, a, b in some], pa.int32()), pa.array(coded, pa.binary()), pa.array(bounds, pa.binary())], ["r", "chunk", "n", "coded", "ids"])
+                    del got, id_, least, most, coded, bounds
+                del buf, first, last, at, h, doc
+                give_back()
+
+    schema = "r int, chunk string, n int, coded binary, ids binary"
+    return chunks.select("chunk", "ids", "blob", "sizes", "codes").mapInArrow(send, schema)
 
 
 class Run:
-    """A front-coded run: common prefix lengths, strings, and where each starts."""
+    """A front-coded run: common prefix lengths, strings, and the least and greatest id of each."""
 
-    def __init__(self, n: int, coded: bytes, rows: bytes) -> None:
+    def __init__(self, n: int, coded: bytes, ids: bytes) -> None:
         head = np.frombuffer(coded, np.uint8, 3 * n).reshape(n, 3)
-        self.times = np.frombuffer(coded, np.uint32, n, 3 * n).astype(np.int64)
         self.lcp, self.right = head[:, 0].tolist(), head[:, 2].tolist()
-        ends = np.cumsum(head[:, 1].astype(np.int64) - head[:, 0]) + 7 * n
-        self.strings, before, at = [], b"", 7 * n
+        ends = np.cumsum(head[:, 1].astype(np.int64) - head[:, 0]) + 3 * n
+        self.strings, before, at = [], b"", 3 * n
         for common, end in zip(self.lcp, ends.tolist(), strict=True):
             before = before[:common] + coded[at:end]
             self.strings.append(before)
             at = end
-        total = int(self.times.sum())
-        self.ids = np.frombuffer(rows, np.int64, total)
-        self.doc = np.frombuffer(rows, np.uint32, total, 8 * total)
-        self.start = np.frombuffer(rows, np.uint32, total, 12 * total)
-        self.begin = np.cumsum(self.times) - self.times
-        self.least = np.minimum.reduceat(self.ids, self.begin).tolist()
-        self.most = np.maximum.reduceat(self.ids, self.begin).tolist()
+        least = np.frombuffer(ids, np.int64, n)
+        self.least, self.most = least.tolist(), (least + np.frombuffer(ids, np.int64, n, 8 * n)).tolist()
 
 
 def common_prefix(a: bytes, b: bytes, at: int) -> int:
@@ -369,27 +380,48 @@ def covered(all_runs: list[Run]) -> list[list[tuple[int, int, int, int]]]:
     return out
 
 
-def spans_of(run_rows: DataFrame) -> DataFrame:
-    """(chunk, spans): what is to be cut from each chunk's documents."""
+def covers(run_rows: DataFrame) -> DataFrame:
+    """(chunk, covers): per range, which of a chunk's suffixes there have strings to cut, and from which id on."""
 
     def merge(table: pa.Table) -> pa.Table:
         opener, squeeze = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
-        all_runs = [Run(n, opener.decompress(c), opener.decompress(p)) for n, c, p in zip(*(table[x].to_pylist() for x in ("n", "coded", "rows")), strict=True)]
-        spans = []
-        for run, found in zip(all_runs, covered(all_runs), strict=True):
-            if not found:
-                spans.append(None)
-                continue
-            i, t, u, least = np.array(found, np.int64).T
-            n = run.times[i]
-            row = np.repeat(run.begin[i] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            later = run.ids[row] > np.repeat(least, n)
-            row, t, u = row[later], np.repeat(t, n)[later], np.repeat(u, n)[later]
-            start = run.start[row].astype(np.int64) + t
-            spans.append(squeeze.compress(run.doc[row].tobytes() + start.astype(np.uint32).tobytes() + (u - t + LENGTH).astype(np.uint32).tobytes()))
-        return pa.table({"chunk": table["chunk"], "spans": pa.array(spans, pa.binary())})
-
-    return run_rows.groupBy("r").applyInArrow(merge, "chunk string, spans binary").where("spans IS NOT NULL").groupBy("chunk").agg(F.collect_list("spans").alias("spans"))
+        all_runs = [Run(n, opener.decompress(c), opener.decompress(p)) for n, c, p in zip(*(table[x].to_pylist() for x in ("n", "coded", "ids")), strict=True)]
+        found = [squeeze.compress(np.array(x, np.int64).T.tobytes()) if x else None for x in covered(all_runs)]
+        del all_runs
+        give_back()
+        return pa.table({"chunk": table["chunk"], "r": table["r"], "found": pa.array(found, pa.binary())})
+
+    met = run_rows.groupBy("r").applyInArrow(merge, "chunk string, r int, found binary").where("found IS NOT NULL")
+    return met.groupBy("chunk").agg(F.collect_list(F.struct("r", "found")).alias("covers"))
+
+
+def spans_of(buf: np.ndarray, begins: np.ndarray, ids: np.ndarray, codes: list[dict], found: list[dict], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the maximal covered runs of a chunk begin and end, ascending; none crosses documents."""
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    opener = zstandard.ZstdDecompressor()
+    first, last, at, h, doc = suffixes(buf, begins, codes)
+    got = Arranged(buf, first, last, at, h, bits)
+    del got.matrix
+    starts, ends = [], []
+    for f in found:
+        i, t, u, least = np.frombuffer(opener.decompress(f["found"]), np.int64).reshape(4, -1)
+        i = i + got.cut[f["r"]]
+        n = got.end[i] - got.begin[i]
+        row = got.order[np.repeat(got.begin[i] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        later = ids[doc[row]] > np.repeat(least, n)
+        row, t, u = row[later], np.repeat(t, n)[later], np.repeat(u, n)[later]
+        starts.append(first[row] + t)
+        ends.append(first[row] + u + LENGTH)
+    start, end = np.concatenate(starts), np.concatenate(ends)
+    order = np.argsort(start)
+    start, end = start[order], np.maximum.accumulate(end[order])
+    opens = np.ones(len(start), bool)
+    opens[1:] = start[1:] > end[:-1]
+    edge = np.searchsorted(begins, start, "right")  # runs that touch where documents meet stay two
+    opens[1:] |= edge[1:] != edge[:-1]
+    opens = np.flatnonzero(opens)
+    return start[opens], end[np.append(opens[1:], len(start)) - 1] if len(start) else end
 
 
 def without_repeats(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", binary: bool = True, as_text: bool = True) -> DataFrame:
@@ -400,39 +432,43 @@ def without_repeats(docs: DataFrame, keep: list[str], id_col: str = "doc_id", te
     keep all. Repeated rows each get a row. ``binary`` and ``as_text`` turn those two columns
     to nulls where they aren't wanted.
     """
-    bits = ranges_of(docs.sparkSession)
     chunks = written(packed_chunks(docs, keep, text_col, id_col), "suffix-chunks")
-    some = chunks.join(shared_kgrams(chunks, bits), "chunk", "left")
-    spans = spans_of(runs(some, bits))
+    bits = range_bits(chunks, RANGE_TEXT)
+    codes = written(shared_kgrams(chunks, bits), "suffix-codes")
+    some = chunks.join(codes, "chunk", "left")
     names = [f"k{i}" for i in range(len(keep))]
     rest = chunks.schema["rest"].dataType.elementType
     schema = T.StructType([*rest.fields, *T._parse_datatype_string("n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, kept_text string").fields])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        opener = zstandard.ZstdDecompressor()
         for batch in batches:
-            for blob, sizes, spans_, i in zip(*(batch.column(c).to_pylist() for c in (0, 1, 3)), range(batch.num_rows), strict=True):
+            for blob, sizes, ids, codes_, found, i in zip(*(batch.column(c).to_pylist() for c in (0, 1, 2, 4, 5)), range(batch.num_rows), strict=True):
                 buf, begins = opened(blob, sizes)
-                found = [np.frombuffer(opener.decompress(raw), np.uint32).reshape(3, -1).astype(np.int64) for raw in spans_ or ()]
-                doc, start, size = np.concatenate(found, 1) if found else np.empty((3, 0), np.int64)
-                start = start + begins[doc]
-                edge = np.bincount(start, minlength=len(buf) + 1) - np.bincount(start + size, minlength=len(buf) + 1)
-                out = np.cumsum(edge[:-1]) > 0
-                n = np.diff(begins)
-                total = np.concatenate(([0], np.cumsum(out)))
-                removed = total[begins[1:]] - total[begins[:-1]]
-                opens = out.copy()
-                opens[1:] &= ~out[:-1]
-                starts = begins[:-1][n > 0]
-                opens[starts] = out[starts]
-                total = np.concatenate(([0], np.cumsum(opens)))
-                n_spans = total[begins[1:]] - total[begins[:-1]]
-                kept = [bytes(buf[a:b]) if not r else bytes(buf[a:b][~out[a:b]]) for a, b, r in zip(begins, begins[1:], removed, strict=False)]
-                kept = [None if z else k for k, z in zip(kept, np.frombuffer(sizes, np.int64) < 0, strict=True)]
-                fields = batch.column(2)[i].values
-                yield pa.RecordBatch.from_arrays([*(fields.field(j) for j in range(len(names))), pa.array(n), pa.array(removed), pa.array(n_spans), pa.array([hashlib.sha256(k or b"").hexdigest() for k in kept]), pa.array(kept if binary else [None] * len(kept), pa.binary()), pa.array([None if k is None else k.decode("utf-8", "ignore") for k in kept] if as_text else [None] * len(kept), pa.string())], schema.fieldNames())
-
-    done = chunks.join(spans, "chunk", "left").select("blob", "sizes", "rest", "spans").mapInArrow(cut, schema)
+                start, end = spans_of(buf, begins, np.frombuffer(ids, np.int64), codes_, found, bits)
+                fields, null, raw = batch.column(3)[i].values, np.frombuffer(sizes, np.int64) < 0, buf.tobytes()
+                del buf
+                give_back()
+                place = np.searchsorted(start, begins)
+                total = np.concatenate(([0], np.cumsum(end - start)))
+                removed, n_spans = np.diff(total[place]), np.diff(place)
+                lo = 0
+                while lo < len(null):  # some texts at a time
+                    hi = max(lo + 1, int(np.searchsorted(begins, begins[lo] + OUT_BYTES, "right")) - 1)
+                    kept = []
+                    for d in range(lo, hi):
+                        s, p, q = int(begins[d]), int(place[d]), int(place[d + 1])
+                        around = [s, *(x for pair in zip(start[p:q].tolist(), end[p:q].tolist(), strict=True) for x in pair), int(begins[d + 1])]
+                        kept.append(None if null[d] else b"".join(raw[a:b] for a, b in zip(around[::2], around[1::2], strict=True)))
+                    n = hi - lo
+                    yield pa.RecordBatch.from_arrays([
+                        *(fields.field(j).slice(lo, n) for j in range(len(names))), pa.array(np.diff(begins[lo : hi + 1])), pa.array(removed[lo:hi]), pa.array(n_spans[lo:hi]),
+                        pa.array([hashlib.sha256(k or b"").hexdigest() for k in kept]), pa.array(kept if binary else [None] * n, pa.binary()),
+                        pa.array([None if k is None else k.decode("utf-8", "ignore") for k in kept] if as_text else [None] * n, pa.string())], schema.fieldNames())
+                    lo = hi
+                del raw, kept
+                give_back()
+
+    done = some.join(covers(runs(some, bits)), "chunk", "left").select("blob", "sizes", "ids", "rest", "codes", "covers").mapInArrow(cut, schema)
     return done.select(*[F.col(a).alias(b) for a, b in zip(names, keep, strict=True)], *schema.fieldNames()[len(names):])
 
 
