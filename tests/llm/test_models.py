@@ -121,6 +121,44 @@ def test_toxicity_hears_every_expression():
     assert (np.diff(got) > 0).all()
 
 
+def test_toxicity_counts_are_brute_force(spark):
+    """Words of up to 12 bytes: class counts and continuation counts of every prefix, and probabilities that sum to one."""
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abc"), rng.integers(2, 7))) for _ in range(60)]
+    texts = [(" ".join(rng.choice(words, 30)), int(i % 3 == 0)) for i in range(20)] + [(None, 1), ("", 0)]
+    got = toxicity.class_counts(spark.createDataFrame(texts, "__text string, __label int").repartition(3)).toPandas()
+    cell = lambda w: toxicity.cells([w.encode()], Hasher(), separators(True))[0][:, 0].tolist()
+    n, seen = Counter(), {}
+    for t, y in texts:
+        before = None
+        for w in (t or "").split():
+            c = cell(w)
+            for level in range(len(toxicity.LEVELS)):
+                key = (level, c[level], c[level - 1] if level else 0)
+                n[*key, y] += 1
+                seen.setdefault(key, set()).add(before)
+            before = w
+    assert len(got) == len(seen)
+    for r in got.itertuples():
+        key = (r.level, r.cell, r.parent)
+        assert (r.ordinary, r.toxic, r.contexts) == (n[*key, 0], n[*key, 1], len(seen[key]))
+    for level in range(len(toxicity.LEVELS)):
+        rows, above = got[got.level == level], got[got.level == level - 1]
+        for side in ("ordinary", "toxic"):
+            total = np.bincount(above.cell, weights=above[side], minlength=1 << toxicity.CELL_BITS) if level else np.array([float(rows[side].sum())])
+            p, _ = toxicity.extended(rows[side].to_numpy(float), total, rows.parent.to_numpy(), rows.contexts.to_numpy(float))
+            sums = np.bincount(rows.parent, weights=p)
+            assert np.allclose(sums[np.unique(rows.parent)], 1)
+
+
+def test_toxicity_held_out(spark):
+    large = SF.replace("0.01", "0.1")
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{large}/labels.parquet").collect()}
+    held = [r for r in toxicity.op7(spark, large).collect() if r.held_out and labels.get(r.doc_id) is not None]
+    toxic, clean = ([r.score for r in held if labels[r.doc_id] == y] for y in (1, 0))
+    assert np.mean([[x > y for y in clean] for x in toxic]) > 0.93 and np.mean([x < 0.3 for x in clean]) > 0.97
+
+
 def test_toxicity_without_labels(spark, documents, no_documents):
     model = toxicity.ToxicityModel(documents, spark.createDataFrame([], "doc_id long, toxic int"))
     assert all(r.score < 0.3 for r in model.score(documents, keep=["doc_id"]).collect())

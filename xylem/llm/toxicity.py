@@ -1,10 +1,11 @@
-"""Toxicity from class-conditional models of expressions, by interpolated absolute discounting.
+"""Toxicity from class-conditional Kneser-Ney models of expressions.
 
 Toxic and ordinary documents each have a model of expressions, spelt
 as a chain of prefixes. A word of up to 12 bytes is an expression; in longer runs,
 and in scripts without spaces, one begins at every character, so that every byte
-of a text is in some expression. At every link the class's discounted count is interpolated
-with the counts both classes share, so that a rare or new form of a known stem
+of a text is in some expression. At every link the class's counts lose an absolute
+discount, and the mass this frees is spread by continuation counts that both classes share: in how
+many contexts (expressions before) an extension of the prefix was seen. So a rare or new form of a known stem
 is judged by the stem, and one that neither class knows says nothing. An
 expression's evidence is the difference of its two log-likelihoods. A document's
 is the log-likelihood ratio, over all its expressions, of a text in which
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table, remainder
+from .common import give_back, read_table, remainder
 from .words import Hasher, groups, joined, lower_ascii, mix, separators, spans
 
 #: Bytes of the prefixes that make up the chain.
@@ -34,7 +35,7 @@ LEVELS = (2, 3, 4, 5, 6, 8, 12)
 WIDE = 0xE0
 #: Each level's prefixes are counted in so many cells (bits).
 CELL_BITS = 20
-DISCOUNT, SHARED_MASS = 1.5, 50.0
+DISCOUNT = 1.5
 #: Toxic expressions supposed in a toxic text, at most half of all; where the curve's scale turns logarithmic.
 EXPECTED, BEND = 4.0, 0.25
 #: Bound on labelled documents that are fitted: of each class, by least hash of the id; a quarter calibrate.
@@ -79,28 +80,59 @@ def labelled_sample(labels: DataFrame, id_col: str, label_col: str, held_out_mod
     return of[0].union(of[1]).withColumn("__calibrates", F.pmod(F.xxhash64(F.lit(3), "__id"), F.lit(4)) == 0)
 
 
+def contexts(buf: np.ndarray, starts: np.ndarray, hasher: Hasher, table: np.ndarray) -> np.ndarray:
+    """What stands before each expression: a hash of the run before its own, or, inside a run, of the byte before; 0 at the beginning."""
+    s, e = spans(buf, table)
+    run = np.searchsorted(s, starts, "right") - 1
+    before = np.concatenate((np.zeros(1, np.uint64), hasher.hashes(buf, s, e)[0]))[run]
+    inside = starts != s[run]
+    before[inside] = mix(buf[starts[inside] - 1].astype(np.uint64) + np.uint64(1))
+    return before
+
+
 def class_counts(docs: DataFrame) -> DataFrame:
-    """(level, cell, parent, ordinary, toxic) summed over documents (__text, __label)."""
+    """(level, cell, parent, ordinary, toxic, contexts) summed over documents (__text, __label)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, table = Hasher(), separators(True)
         for batch in batches:
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(0).to_pylist()]
             label = batch.column(1).to_numpy(zero_copy_only=False)
-            for i, j in groups(texts, 8 << 20):
+            for i, j in groups(texts, 4 << 20):
                 at, doc = cells(texts[i:j], hasher, table)
+                buf, begins = joined(texts[i:j])
+                buf = lower_ascii(buf)
+                starts = pieces(buf, table)[0]
+                before = contexts(buf, starts, hasher, table)
+                before[np.isin(starts, begins)] = 0  # nothing is before a text
                 toxic = label[i:j][doc] == 1
                 for level in range(len(LEVELS)):
                     parent = at[level - 1] if level else np.zeros_like(at[0])
-                    key, back = np.unique((parent.astype(np.int64) << CELL_BITS) | at[level], return_inverse=True)
-                    n1 = np.bincount(back, weights=toxic, minlength=len(key)).astype(np.int64)
-                    n = np.bincount(back, minlength=len(key))
+                    key = (parent.astype(np.uint64) << np.uint64(CELL_BITS)) | at[level].astype(np.uint64)
+                    order = np.lexsort((before, key))
+                    key, b, y = key[order], before[order], toxic[order]
+                    first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (b[1:] != b[:-1]))) if len(key) else np.empty(0, np.int64)
+                    n = np.diff(np.append(first, len(key)))
+                    n1 = np.add.reduceat(y.astype(np.int64), first) if len(first) else n
+                    key, b = key[first].astype(np.int64), b[first].view(np.int64)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(key), level, np.int32)), pa.array(key & ((1 << CELL_BITS) - 1)), pa.array(key >> CELL_BITS), pa.array(n - n1), pa.array(n1)],
-                        ["level", "cell", "parent", "ordinary", "toxic"])
+                        [pa.array(np.full(len(key), level, np.int32)), pa.array(key & ((1 << CELL_BITS) - 1)), pa.array(key >> CELL_BITS), pa.array(b), pa.array(n - n1), pa.array(n1)],
+                        ["level", "cell", "parent", "before", "ordinary", "toxic"])
 
-    out = docs.select("__text", "__label").mapInArrow(count, "level int, cell long, parent long, ordinary long, toxic long")
-    return out.groupBy("level", "cell", "parent").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
+    out = docs.select("__text", "__label").mapInArrow(count, "level int, cell long, parent long, before long, ordinary long, toxic long")
+    each = out.groupBy("level", "cell", "parent", "before").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
+    return each.groupBy("level", "cell", "parent").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("contexts"))
+
+
+def extended(n: np.ndarray, above: np.ndarray, parent: np.ndarray, continued: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A class's probability of each extension of its prefix, and the share of each prefix that is backed off.
+
+    ``n``: the class's counts; ``above``: its counts of the prefixes; ``continued``: contexts of each extension, of both classes.
+    """
+    lost = np.bincount(parent, weights=np.minimum(n, DISCOUNT), minlength=len(above))
+    back = np.where(above > 0, lost / np.maximum(above, 1), 1.0)
+    shared = continued / np.bincount(parent, weights=continued, minlength=len(above))[parent]
+    return np.maximum(n - DISCOUNT, 0) / np.maximum(above, 1)[parent] + back[parent] * shared, back
 
 
 def compiled(counts: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -110,16 +142,12 @@ def compiled(counts: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
     above = [np.array([float(counts[c].to_numpy()[level == 0].sum())]) for c in ("ordinary", "toxic")]
     for li in range(len(LEVELS)):
         rows = counts.filter(pa.array(level == li))
-        cell, parent = rows["cell"].to_numpy(), rows["parent"].to_numpy()
+        cell, parent, continued = (rows[c].to_numpy() for c in ("cell", "parent", "contexts"))
         n = [rows[c].to_numpy().astype(float) for c in ("ordinary", "toxic")]
-        lost = [np.bincount(parent, weights=np.minimum(x, DISCOUNT), minlength=len(above[0])) for x in n]
-        weight = [(x + SHARED_MASS) / (a + SHARED_MASS) for x, a in zip(lost, above, strict=True)]
-        shared = (n[0] + n[1]) / np.maximum(above[0] + above[1], 1.0)[parent]
-        p = [np.maximum(x - DISCOUNT, 0) / (a[parent] + SHARED_MASS) + w[parent] * shared for x, a, w in zip(n, above, weight, strict=True)]
+        p, back = zip(*(extended(x, a, parent, continued.astype(float)) for x, a in zip(n, above, strict=True)), strict=True)
         seen = np.full(n_cells, np.nan, np.float32)
         seen[cell] = np.log(p[1]) - np.log(p[0])
-        unseen = (np.log(weight[1]) - np.log(weight[0])).astype(np.float32)
-        unseen[above[0] + above[1] == 0] = 0
+        unseen = (np.log(np.where(back[1] > 0, back[1], 1)) - np.log(np.where(back[0] > 0, back[0], 1))).astype(np.float32)
         model.append((seen, unseen))
         above = [np.bincount(cell, weights=x, minlength=n_cells) for x in n]
     return model
@@ -170,6 +198,9 @@ def evidence_column(docs: DataFrame, text_col: str, keep: list[str], held) -> Da
         for batch in batches:
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(evidence(texts, model, hasher, table))], [*keep, "__evidence"])
+            del texts
+        del model
+        give_back()
 
     return slim.mapInArrow(run, schema)
 
@@ -189,7 +220,12 @@ class ToxicityModel:
         self.slope, self.offset = logistic(fit["__evidence"].to_numpy(), fit["__label"].to_numpy().astype(float))
 
     def score(self, docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-        """``keep`` columns (default: all but the text) and score; null and empty texts have no evidence."""
+        """``keep`` columns (default: all but the text) and score.
+
+        Null and empty texts have no evidence and share one score. Equal texts have equal
+        scores and repeated rows stay; texts of any length are read whole. Empty tables give empty results. A kept
+        column named score goes: rename it first.
+        """
         keep = [c for c in docs.columns if c != text_col] if keep is None else keep
         d = evidence_column(docs, text_col, keep, self.held)
         x = F.least(F.greatest(F.lit(self.slope) * F.col("__evidence") + F.lit(self.offset), F.lit(-30.0)), F.lit(30.0))
@@ -203,7 +239,10 @@ def op7(spark, sf_dir):
 
 
 def without_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without those the model rejects; columns as they were.
+    """``docs`` without those the model rejects; columns as they were, whatever their names.
+
+    Null and empty texts stay unless the model rejects texts without evidence.
+    Equal texts stay or go together. Empty tables give empty results.
 
     The text travels through the scorer with its row, so nothing is joined back.
     """
