@@ -151,6 +151,15 @@ def test_toxicity_counts_are_brute_force(spark):
             assert np.allclose(sums[np.unique(rows.parent)], 1)
 
 
+def test_logistic_settles_where_classes_part():
+    rng = np.random.default_rng(0)
+    x = np.concatenate([rng.normal(1.2, 1.2, 3000), rng.normal(5, 0.5, 1000)])
+    y = np.repeat([0.0, 1.0], [3000, 1000])
+    a, b = toxicity.logistic(x, y)
+    p = 1 / (1 + np.exp(-(a * x + b)))
+    assert abs(p.mean() - 0.25) < 0.01 and ((p >= 0.3) == y).mean() > 0.97
+
+
 def test_toxicity_held_out(spark):
     large = SF.replace("0.01", "0.1")
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{large}/labels.parquet").collect()}

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from .common import give_back
 
 #: Bytes of a chunk; a longer text has one of its own.
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 #: Stands for a null id: larger than any other.
 NO_ID = (1 << 63) - 1
 

@@ -43,7 +43,7 @@ BLOCK = 1 << 16
 #: A K-gram is common if one chunk has it this often, or this many chunks have it.
 COMMON, COMMON_CHUNKS = 1024, 4096
 #: Bytes of text that a range of hashes stands for, rows handled at once, and bytes of text handed on at once.
-RANGE_TEXT, SLICE, OUT_BYTES = 8 << 20, 1 << 14, 1 << 20
+RANGE_TEXT, SLICE, OUT_BYTES = 4 << 20, 1 << 14, 1 << 20
 #: Bytes of hash before a suffix; a suffix with its left context and length.
 HASH_BYTES, WIDE = 3, 2 * LENGTH - K + 1
 _B = 0x9E3779B97F4A7C15

@@ -98,7 +98,7 @@ def class_counts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(0).to_pylist()]
             label = batch.column(1).to_numpy(zero_copy_only=False)
-            for i, j in groups(texts, 4 << 20):
+            for i, j in groups(texts, 2 << 20):
                 at, doc = cells(texts[i:j], hasher, table)
                 buf, begins = joined(texts[i:j])
                 buf = lower_ascii(buf)
@@ -148,7 +148,7 @@ def compiled(counts: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
         seen = np.full(n_cells, np.nan, np.float32)
         seen[cell] = np.log(p[1]) - np.log(p[0])
         unseen = (np.log(np.where(back[1] > 0, back[1], 1)) - np.log(np.where(back[0] > 0, back[0], 1))).astype(np.float32)
-        model.append((seen, unseen))
+        model.append((seen.astype(np.float16), unseen.astype(np.float16)))
         above = [np.bincount(cell, weights=x, minlength=n_cells) for x in n]
     return model
 
@@ -162,7 +162,7 @@ def evidence(texts: list[bytes], model, hasher: Hasher, table: np.ndarray) -> np
             continue
         total, known, parent = np.zeros(len(doc), np.float32), np.ones(len(doc), bool), np.zeros(len(doc), np.int32)
         for row, (seen, unseen) in zip(at, model, strict=True):
-            x = seen[row]
+            x = seen[row].astype(np.float32)
             new = np.isnan(x)
             x[new] = unseen[parent[new]]
             total += np.where(known, x, 0)
@@ -175,16 +175,27 @@ def evidence(texts: list[bytes], model, hasher: Hasher, table: np.ndarray) -> np
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset, by Newton's method with a small ridge."""
+    """Slope and offset, by Newton's method with a small ridge; a step is halved until it gains."""
     if not len(y):
         return 0.0, -20.0
-    w, design = np.zeros(2), np.stack([x, np.ones_like(x)], 1)
-    ridge = np.array([0.05, 0.01])
-    for _ in range(50):
+    middle, width = x.mean(), max(x.std(), 1e-9)
+    design, ridge = np.stack([(x - middle) / width, np.ones_like(x)], 1), np.array([0.05, 0.01])
+
+    def loss(w):
+        z = design @ w
+        return np.logaddexp(0, z).sum() - z @ y + (ridge * w * w).sum() / 2
+
+    w = np.zeros(2)
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        step = np.linalg.solve((design * (p * (1 - p) + 1e-9)[:, None]).T @ design + np.diag(ridge), design.T @ (y - p) - ridge * w)
-        w += np.clip(step, -2, 2)
-    return float(w[0]), float(w[1])
+        step = np.linalg.solve((design * (p * (1 - p))[:, None]).T @ design + np.diag(ridge), design.T @ (y - p) - ridge * w)
+        size = 1.0
+        while size > 1e-6 and loss(w + size * step) > loss(w):
+            size /= 2
+        w = w + size * step
+        if np.abs(size * step).max() < 1e-9:
+            break
+    return float(w[0] / width), float(w[1] - w[0] * middle / width)
 
 
 def evidence_column(docs: DataFrame, text_col: str, keep: list[str], held) -> DataFrame:
