@@ -47,6 +47,38 @@ def test_neighbours(spark, monkeypatch, range_rows):
     assert hits / (20 * len(want)) >= (1 if range_rows == 8192 else 0.9)
 
 
+@pytest.mark.parametrize("range_rows", [8192, 40])
+def test_repeated_rows_and_ids(spark, monkeypatch, range_rows):
+    """Repeated rows crowd nobody out; an id on several vectors counts once, by its best product."""
+    monkeypatch.setattr(neighbours, "RANGE_ROWS", range_rows)
+    monkeypatch.setattr(neighbours, "WANTED", 1.0)
+    rng = np.random.default_rng(8)
+    vector = lambda: rng.standard_normal(4).round(2).tolist()
+    rows = [(i, vector()) for i in range(1, 38)] + [(100, [9.0, 9.0, 9.0, 9.0])] * 30 + [(i, vector()) for i in (20, 20, 40, 40, 41, 41, 41) for _ in range(2)]
+    want = {}
+    for q, a in rows:
+        if q % 20 == 0:
+            for i, b in rows:
+                if i != q:
+                    score = (np.array(b) * np.array(a)).sum()
+                    want.setdefault(q, {})[i] = max(score, want.get(q, {}).get(i, -np.inf))
+    got = {}
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    for r in neighbours.neighbours(table).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert {q: sorted(x.items(), key=lambda y: (-y[1], y[0]))[:20] for q, x in want.items()} == got
+
+
+def test_recall_on_embeddings(spark):
+    """All queries of a table of several ranges, against brute force."""
+    sf = SF.replace("0.01", "0.1")
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()]
+    want, got = brute(rows, 20, 20), {}
+    for r in neighbours.op5(spark, sf).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert sum(len(set(dict(w)) & got[q]) for q, w in want.items()) >= 0.9 * sum(map(len, want.values()))
+
+
 def test_few_or_no_vectors(spark):
     schema = "vec_id long, embedding array<float>"
     assert neighbours.neighbours(spark.createDataFrame([], schema)).collect() == []

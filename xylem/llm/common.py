@@ -44,9 +44,11 @@ def give_back() -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``; a local one only where that is unset and all runs on this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", "xylem")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")

@@ -96,19 +96,26 @@ def vectors(column) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def foremost(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best ids, each with its best score, ties to the smaller id."""
+    order = np.lexsort((ids, -scores))
+    _, first = np.unique(ids[order], return_index=True)
+    order = order[np.sort(first)][:k]
+    return ids[order], scores[order]
+
+
 def best(query: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Each query's k best (ids, products), ties to the smaller id. The product is summed alike for equal vectors."""
+    enough = k * int(np.unique(ids, return_counts=True)[1].max(initial=1))  # an id may have several vectors
     for i in range(0, len(query), 256):
         rough = query[i : i + 256] @ x.T
-        if rough.shape[1] > k:
-            floor = -np.partition(-rough, k - 1, axis=1)[:, k - 1]
+        if rough.shape[1] > enough:
+            floor = -np.partition(-rough, enough - 1, axis=1)[:, enough - 1]
         else:
             floor = np.full(len(rough), -np.inf)
         for q, row, least in zip(query[i : i + 256], rough, floor, strict=True):
             at = np.flatnonzero(row >= least - 1e-9 * (1 + abs(least))) if np.isfinite(least) else np.arange(len(row))
-            exact = (x[at] * q).sum(1)
-            order = np.lexsort((ids[at], -exact))[:k]
-            yield ids[at][order], exact[order]
+            yield foremost(ids[at], (x[at] * q).sum(1), k)
 
 
 def packed(rep: list, found: list) -> pa.RecordBatch:
@@ -128,11 +135,7 @@ def merged(rows: DataFrame, k: int) -> DataFrame:
             for rep, i, s in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 i, s = i.values.to_numpy(), s.values.to_numpy()
                 if rep == now:
-                    i, s = np.concatenate((ids, i)), np.concatenate((scores, s))
-                    _, first = np.unique(i, return_index=True)
-                    i, s = i[first], s[first]
-                    order = np.lexsort((i, -s))[:k]
-                    i, s = i[order], s[order]
+                    i, s = foremost(np.concatenate((ids, i)), np.concatenate((scores, s)), k)
                 elif now is not None:
                     out.append((now, ids, scores))
                 now, ids, scores = rep, i, s
@@ -149,8 +152,10 @@ def neighbours(table: DataFrame, k: int = 20, every: int = 20, id_col: str = "ve
 
     Rows with a null id, and vectors that are null, zero, of another than the
     usual length or hold null or non-finite components take no part. Rows
-    with the query's id count as its own. Rows that repeat an id count once.
-    Equal vectors are searched once, with their k + 1 smallest ids.
+    with the query's id count as its own. Rows that repeat id and vector count once;
+    an id with several vectors is found, and asks, by the best product of any of them.
+    Equal vectors are searched once, with their k + 1 smallest ids. Ties go to the smaller id.
+    Empty tables give empty results; other columns, whatever their names, are not read.
     """
     spark = table.sparkSession
     v = table.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("v"))
@@ -159,7 +164,7 @@ def neighbours(table: DataFrame, k: int = 20, every: int = 20, id_col: str = "ve
     usual = v.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
     if usual is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    v = v.where(F.size("v") == usual["n"])
+    v = v.where(F.size("v") == usual["n"]).distinct()
     first = Window.partitionBy("v").orderBy("id")
     candidates = written(v.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1).select("id", "v"), "ann-candidates")
     asked = v.where(F.col("id") % every == 0)
@@ -225,6 +230,7 @@ def neighbours(table: DataFrame, k: int = 20, every: int = 20, id_col: str = "ve
     top = merged(found, k + 1)
     members = asked.join(queries, "v").select(F.col("id").alias("query_id"), "rep").distinct()
     rows = members.join(top, "rep").select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("x")).select("query_id", F.col("x.ids").alias("vec_id"), F.col("x.scores").alias("score")).where("query_id <> vec_id")
+    rows = rows.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
