@@ -1,3 +1,6 @@
+import itertools
+import re
+
 import pytest
 
 from xylem.functions import uri, xsd
@@ -119,7 +122,7 @@ def test_xinclude(spark):
         "http://x/gone.xml": f'<g {xi}><xi:include href="none.xml"/></g>',
     }
     table = spark.createDataFrame(list(docs.items()), "uri string, xml string")
-    got = {r.uri: r for r in inclusion.expanded(table.where("uri NOT LIKE '%txt'"), table, rounds=3).collect()}
+    got = {r.uri: r for r in inclusion.expanded(table.where("uri NOT LIKE '%txt'"), table).collect()}
     assert "fell" in got["http://x/a.xml"].xml and "1 &#60; 2" in got["http://x/a.xml"].xml and "include" not in got["http://x/a.xml"].xml.replace(xi, "")
     assert got["http://x/gone.xml"].error and got["http://x/loop.xml"].error == "includes itself"
 
@@ -171,6 +174,113 @@ def test_relaxng():
             Schema.from_xml(bad)
 
 
+GRAMMAR = "<grammar xmlns='http://relaxng.org/ns/structure/1.0' datatypeLibrary='http://www.w3.org/2001/XMLSchema-datatypes'>{}</grammar>"
+
+
+def start(inner, more=""):
+    return GRAMMAR.format(f"<start><element name='r'>{inner}</element></start>{more}")
+
+
+@pytest.mark.parametrize("bad", [
+    start("<ref name='a'/>", "<define name='a'><ref name='a'/></define>"),
+    start("<ref name='a'/>", "<define name='a'><optional><ref name='b'/></optional></define><define name='b'><group><ref name='a'/><text/></group></define>"),
+    start("<ref name='nowhere'/>"),
+    start("<list><element name='x'><empty/></element></list>"),
+    start("<list><text/></list>"),
+    start("<attribute name='a'><attribute name='b'/></attribute>"),
+    start("<attribute name='a'/><attribute name='a'/>"),
+    start("<attribute name='a'/><oneOrMore><attribute><anyName/></attribute></oneOrMore>"),
+    start("<attribute><anyName/></attribute>"),
+    start("<oneOrMore><group><attribute name='a'/><attribute name='b'/></group></oneOrMore>"),
+    start("<data type='int'><except><text/></except></data>"),
+    start("<data type='int'/><data type='int'/>"),
+    start("<data type='int'/><element name='x'><empty/></element>"),
+    start("<interleave><text/><text/></interleave>"),
+    start("<interleave><element name='x'><empty/></element><element><anyName><except><name>y</name></except></anyName><empty/></element></interleave>"),
+    GRAMMAR.format("<start><text/></start>"),
+    GRAMMAR.format("<start><attribute name='a'/></start>"),
+])
+def test_relaxng_restrictions(bad):
+    with pytest.raises(SchemaError):
+        Schema.from_xml(bad)
+
+
+@pytest.mark.parametrize("good", [
+    start("<ref name='a'/>", "<define name='a'><element name='a'><optional><ref name='a'/></optional></element></define>"),
+    start("<choice><attribute name='a'/><attribute name='a'/></choice>"),
+    start("<attribute name='a'/><oneOrMore><attribute><anyName><except><name>a</name></except></anyName></attribute></oneOrMore>"),
+    start("<attribute name='n'><data type='int'/></attribute><data type='int'/>"),
+    start("<interleave><element name='x'><empty/></element><element><anyName><except><name>x</name></except></anyName><empty/></element><text/></interleave>"),
+    GRAMMAR.format("<start><choice><element name='a'><empty/></element><notAllowed/></choice></start>"),
+])
+def test_relaxng_restrictions_allow(good):
+    Schema.from_xml(good)
+
+
+def test_schemas_that_read_themselves():
+    one, two = (GRAMMAR.format(f"<start><element name='a'><externalRef href='{h}'/></element></start>") for h in ("two", "one"))
+    with pytest.raises(SchemaError):
+        Schema.from_xml(one, {"one": one, "two": two}, "one")
+    with pytest.raises(SchemaError):
+        Schema.from_xml(GRAMMAR.format("<include href='me'/>"), {"me": GRAMMAR.format("<include href='me'/>")}, "me")
+
+
+def test_encoding_is_taken_from_a_declaration_only():
+    text = '<a><![CDATA[<?xml version="1.0" encoding="x"?>]]></a>'
+    assert [n[9] for n in parse(text).nodes if n[4] == "text"] == ['<?xml version="1.0" encoding="x"?>']
+    assert not parse('<?xml version="1.0"    encoding="no-such"?><a/>').errors
+
+
+def test_language_and_base_do_not_hang_on_the_order_of_attributes():
+    nodes = parse('<a k="1" xml:lang="en" j="2" xml:base="x/y"/>', base_uri="http://h/d").nodes
+    assert {(n[13], n[14]) for n in nodes if n[4] == "attribute"} == {("http://h/x/y", "en")}
+
+
+def test_deep_documents():
+    depth = 20_000
+    xml = "<a>" * depth + "t" + "</a>" * depth
+    nodes = parse(xml).nodes
+    assert serialize.serialize(nodes) == serialize.canonical(nodes) == xml
+    v = Validator(Schema.from_xml(start("<text/>").replace("'r'", "'a'")))
+    assert v.errors(nodes)
+
+
+@pytest.mark.parametrize("model", ["((b?,b?)*,c)", "((b|b)*,c)", "((b*)*,c)", "((b+)+,c)"])
+def test_content_models_take_linear_time(model):
+    xml = lambda body: f"<!DOCTYPE a [<!ELEMENT a {model}><!ELEMENT b EMPTY><!ELEMENT c EMPTY>]><a>{body}</a>"
+    found = lambda body: [v for v in dtd.violations(parse(xml(body))) if v[0] == "element valid"]
+    assert found("<b/>" * 2000) == [("element valid", "a")] and not found("<b/>" * 2000 + "<c/>") and bool(found("<c/>")) == ("+" in model) and found("<c/><b/>")
+
+
+@pytest.mark.parametrize("model,words", [("(a,b?,(c|d)*,e+)", "abcde"), ("((a|b)+,c?)", "abc"), ("(a*,(b,c)?)", "abc")])
+def test_content_models_are_regular_expressions(model, words):
+    p = parse(f"<!DOCTYPE r [<!ELEMENT r {model}>]><r/>")
+    m, pattern = dtd.ContentModel(p.dtd.elements["r"]), re.compile(model.replace(",", ""))
+    for n in range(5):
+        for names in itertools.product(words, repeat=n):
+            assert m.allows(list(names)) == bool(pattern.fullmatch("".join(names)))
+
+
+def test_declarations_that_are_not_valid():
+    found = lambda d: [c for c, _ in dtd.violations(parse(f"<!DOCTYPE a [{d}]><a/>"))]
+    assert "deterministic content model" in found("<!ELEMENT a ((b,c)|(b,d))?>") and "no duplicate types" in found("<!ELEMENT a (#PCDATA|b|b)*>")
+    assert found("<!ELEMENT a (b,(c|d))?><!ELEMENT b EMPTY>") == []
+
+
+def test_includes_of_any_depth_and_loops(spark):
+    xi = 'xmlns:i="http://www.w3.org/2001/XInclude"'
+    chain = [(f"http://h/{k}", f'<d{k} {xi}><i:include href="{k + 1}"/></d{k}>') for k in range(20)] + [("http://h/20", "<end/>")]
+    loop = [("http://h/x", f'<x {xi}><i:include href="y"/></x>'), ("http://h/y", f'<y {xi}><i:include href="x"/></y>'), ("http://h/me", f'<me {xi}><i:include href="me"/></me>')]
+    other = [("http://h/sub/l", f'<l xml:lang="de" {xi}><i:include href="p"/></l>'), ("http://h/sub/p", '<p xml:lang="fr"/>'), ("http://h/top", f'<top {xi}><i:include href="sub/l"/></top>'), ("http://h/acc", f'<a {xi}><i:include href="20" accept="\u00e9"/></a>')]
+    all_ = spark.createDataFrame(chain + loop + other, "uri string, xml string")
+    got = {r.uri: r for r in inclusion.expanded(all_, all_).collect()}
+    assert got["http://h/0"].error is None and "<end" in got["http://h/0"].xml and "include" not in got["http://h/0"].xml.replace("XInclude", "")
+    assert {got[f"http://h/{k}"].error for k in ("x", "y", "me")} == {"includes itself"} and "accept" in got["http://h/acc"].error
+    nodes = parse(got["http://h/top"].xml, base_uri="http://h/top").nodes
+    assert {n[7]: (n[13], n[14]) for n in nodes if n[4] == "element"} == {"top": ("http://h/top", None), "l": ("http://h/sub/l", "de"), "p": ("http://h/sub/p", "fr")}
+    assert inclusion.CHAIN not in "".join(r.xml or "" for r in got.values())
+
+
 def test_relaxng_compact():
     text = """
     default namespace d = "urn:d"
@@ -179,7 +289,7 @@ def test_relaxng_compact():
     a.name = attribute \\x{6b} { xsd:int - "3" } | attribute x:* { text }+ [ x:note [ "y" ] ]
     start |= element z { grammar { start = element q { parent b } } }   # a comment
     """.replace("\\\\x", "\\x")
-    more = "start |= element d:a { a.name, b*, (element * - d:b { mixed { list { xsd:token+ } | empty } })? }\na.name &= empty\nb = notAllowed\n"
+    more = "start |= element d:a { a.name, b*, (element * - d:b { list { xsd:token+ } | empty })? }\na.name &= empty\nb = notAllowed\n"
     more = 'namespace d = "urn:d"\n' + more.replace("a.name &= empty\n", "")
     v = Validator(Schema.from_compact(text, {"more.rnc": more}))
     ok = lambda xml: not v.errors(parse(xml).nodes)

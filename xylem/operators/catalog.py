@@ -116,13 +116,22 @@ def resolved(rows: DataFrame, documents: dict[str, str], public_col: str | None
 
 
 def rewritten(rows: DataFrame, rules: DataFrame, column: str) -> DataFrame:
-    """One file's exact, rewrite and suffix rules (kind, key, target) as a join: the best rule for each value in ``resolved``."""
-    r = rules.select(F.col("kind").alias("__k"), F.col("key").alias("__key"), F.col("target").alias("__t"))
+    """One file's exact, rewrite and suffix rules (kind, key, target) as a join: the best rule for each value in ``resolved``.
+
+    A value looks up itself, and its beginnings and ends of every length that a
+    rule has, so all joins are on equality; those lengths are few, whatever the rules.
+    """
+    k = F.col("kind")
+    how = F.when(k.isin("system", "uri"), 3).when(k.startswith("rewrite"), 2).when(k.endswith("Suffix"), 1)
+    r = rules.select(how.alias("__how"), F.col("key").alias("__key"), F.col("target").alias("__t")).where("__how IS NOT NULL AND __key IS NOT NULL")
+    lengths = {h: sorted(x["n"] for x in r.where(F.col("__how") == h).select(F.length("__key").alias("n")).distinct().collect()) for h in (2, 1)}
     v = F.col(column)
     distinct = rows.select(column).where(v.isNotNull()).distinct()
-    exact, prefix, suffix = F.col("__k").isin("system", "uri"), F.col("__k").startswith("rewrite"), F.col("__k").endswith("Suffix")
-    hits = distinct.join(F.broadcast(r), (exact & (v == F.col("__key"))) | (prefix & v.startswith(F.col("__key"))) | (suffix & v.endswith(F.col("__key"))))
-    rank = F.struct(F.when(exact, 3).when(prefix, 2).otherwise(1).alias("a"), F.length("__key").alias("b"))
-    value = F.when(prefix, F.concat("__t", F.substring(v, F.length("__key") + 1, F.length(v)))).otherwise(F.col("__t"))
-    best = hits.groupBy(column).agg(F.max_by(value, rank).alias("resolved"))
+    look = [F.struct(F.lit(3).alias("how"), v.alias("key"))]
+    look += [F.when(F.length(v) >= n, F.struct(F.lit(2).alias("how"), F.substring(v, 1, n).alias("key"))) for n in lengths[2]]
+    look += [F.when(F.length(v) >= n, F.struct(F.lit(1).alias("how"), (F.substring(v, -n, n) if n else F.lit("")).alias("key"))) for n in lengths[1]]
+    asked = distinct.select(column, F.explode(F.filter(F.array(*look), lambda x: x.isNotNull())).alias("x")).select(column, F.col("x.how").alias("__how"), F.col("x.key").alias("__key"))
+    hits = asked.join(r, ["__how", "__key"])
+    value = F.when(F.col("__how") == 2, F.concat("__t", F.substring(v, F.length("__key") + 1, F.length(v)))).otherwise(F.col("__t"))
+    best = hits.groupBy(column).agg(F.max_by(value, F.struct("__how", F.length("__key"))).alias("resolved"))
     return rows.join(best, column, "left")

@@ -15,14 +15,49 @@ _EMPTY, _ANY, _MIXED, _NAME_TYPE, _CHOICE, _SEQ = 1, 2, 3, 4, 5, 6
 _TIMES = ("", "?", "*", "+")
 
 
-def content_pattern(model) -> str:
-    """An expat content model as a regular expression over names that each end with a space."""
-    kind, times, name, children = model
-    if kind == _NAME_TYPE:
-        inner = f"(?:{re.escape(name)} )"
-    else:
-        inner = "(?:" + ("|" if kind in (_CHOICE, _MIXED) else "").join(map(content_pattern, children)) + ")"
-    return inner + ("*" if kind == _MIXED and children else _TIMES[times])
+class ContentModel:
+    """A content model as its positions (Glushkov): which may come first and last, and which may follow each."""
+
+    def __init__(self, model) -> None:
+        self.names: list[str] = []
+        self.follow: list[set[int]] = []
+        self.empty, self.first, self.last = self._of(model)
+
+    def _of(self, model) -> tuple[bool, set[int], set[int]]:
+        kind, times, name, children = model
+        if kind == _NAME_TYPE:
+            at = len(self.names)
+            self.names.append(name)
+            self.follow.append(set())
+            empty, first, last = False, {at}, {at}
+        elif kind in (_CHOICE, _MIXED):
+            parts = [self._of(c) for c in children]
+            empty, first, last = any(p[0] for p in parts), set().union(*(p[1] for p in parts)), set().union(*(p[2] for p in parts))
+        else:
+            empty, first, last = True, set(), set()
+            for e, f, l in map(self._of, children):
+                for x in last:
+                    self.follow[x] |= f
+                first, last = first | f if empty else first, last | l if e else l
+                empty = empty and e
+        repeats = _TIMES[times] in ("*", "+") or kind == _MIXED
+        if repeats:
+            for x in last:
+                self.follow[x] |= first
+        return empty or kind == _MIXED or _TIMES[times] in ("?", "*"), first, last
+
+    def allows(self, names: list[str]) -> bool:
+        """Every name moves a set of positions on; nothing is tried twice."""
+        now: set[int] | None = None
+        for n in names:
+            may = self.first if now is None else set().union(*(self.follow[x] for x in now))
+            now = {x for x in may if self.names[x] == n}
+            if not now:
+                return False
+        return self.empty if now is None else bool(now & self.last)
+
+    def deterministic(self) -> bool:
+        return all(len(x) == len({self.names[i] for i in x}) for x in [self.first, *self.follow])
 
 
 def violations(p: Parser) -> list[tuple[str, str]]:
@@ -50,6 +85,12 @@ def violations(p: Parser) -> list[tuple[str, str]]:
             out.append(("one notation per element type", e))
         if any(kind.startswith("NOTATION") for kind, _, _ in attrs.values()) and p.dtd.elements.get(e, (0,))[0] == _EMPTY:
             out.append(("no notation on empty element", e))
+    models = {e: ContentModel(m) for e, m in p.dtd.elements.items() if m[0] not in (_EMPTY, _ANY)}
+    for e, m in p.dtd.elements.items():
+        if m[0] == _MIXED and len(models[e].names) != len(set(models[e].names)):
+            out.append(("no duplicate types", e))
+        elif m[0] not in (_EMPTY, _ANY, _MIXED) and not models[e].deterministic():
+            out.append(("deterministic content model", e))
     seen: set[str] = set()
     refs: list[str] = []
     children: dict[int, list] = {}
@@ -66,8 +107,7 @@ def violations(p: Parser) -> list[tuple[str, str]]:
                 out.append(("element valid", n[8]))
         elif model[0] != _ANY:
             text = any(m[4] in ("text", "cdata") and (m[9].strip(" \t\r\n") or m[4] == "cdata") for m in inner)
-            names = "".join(f"{m[8]} " for m in inner if m[4] == "element")
-            if (text and model[0] != _MIXED) or not re.fullmatch(content_pattern(model), names):
+            if (text and model[0] != _MIXED) or not models[n[8]].allows([m[8] for m in inner if m[4] == "element"]):
                 out.append(("element valid", n[8]))
         declared = p.dtd.attributes.get(n[8], {})
         given = {m[8]: m for m in own if m[4] == "attribute"}

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from xylem.functions.uri import resolve, split
-from xylem.operators.serialize import serialize
+from xylem.operators.serialize import _children, escape_attribute, escape_text, serialize, start_tag, walked
 from xylem.operators.storage import written
 from xylem.sources.parser import parse
 
@@ -114,6 +114,10 @@ def edges(docs: DataFrame, id_col: str = "uri", xml_col: str = "xml") -> DataFra
     return docs.select(id_col, xml_col).mapInArrow(run, schema)
 
 
+#: Attribute that an include brought in by another carries: what it was read from, innermost last. No document keeps it.
+CHAIN = "xylem-chain"
+
+
 def includes(nodes: list) -> list[tuple]:
     out = []
     for n in nodes:
@@ -124,51 +128,105 @@ def includes(nodes: list) -> list[tuple]:
     return out
 
 
+def with_attributes(nodes: list, more: dict[int, dict[str, str]], at: int) -> str:
+    """A subtree's text, with attributes set on some of its elements."""
+
+    def tags(i: int) -> tuple[str, str]:
+        start = start_tag(nodes, i)
+        for name, value in more.get(i, {}).items():
+            text, q = escape_attribute(value)
+            start = re.sub(rf" {name}=(\"[^\"]*\"|'[^']*')", "", start)[:-1] + f" {name}={q}{text}{q}>"
+        return start, f"</{nodes[i][8]}>"
+
+    return walked(nodes, at, tags, lambda n: "" if n[4] == "doctype" else serialize([[0, 0, *n[2:]]]))
+
+
+def brought(source: str, target: str, pointer: str | None, chain: list[str], base: str, lang: str | None) -> str | None:
+    """What an include brings in: base and language fixed up where they differ, and its own includes told where they come from."""
+    inner = parse(source, base_uri=target).nodes
+    top = point(inner, pointer) if pointer else 0
+    if top is None:
+        return None
+    more: dict[int, dict[str, str]] = {}
+    for i in includes(inner):
+        more.setdefault(i[0], {})[CHAIN] = " ".join(chain)
+    roots = [top] if inner[top][4] == "element" else [n[0] for n in inner if n[3] == top and n[4] == "element"]
+    for r in roots:
+        if inner[r][13] != base:
+            more.setdefault(r, {})["xml:base"] = inner[r][13] or ""
+        if (inner[r][14] or "") != (lang or ""):
+            more.setdefault(r, {})["xml:lang"] = inner[r][14] or ""
+    return with_attributes(inner, more, top)
+
+
 def spliced(xml: str, uri: str, found: dict[str, str | None]) -> tuple[str | None, str | None]:
     """(document with its includes replaced once, error). What is included is looked up by (target); inner includes stay for the next round."""
     nodes = parse(xml, base_uri=uri).nodes
     by_pre = {i[0]: i for i in includes(nodes)}
     errors: list[str] = []
+    here = uri.replace(" ", "%20")
 
-    def copied(at: int) -> str:
+    def replaced(at: int) -> tuple[str, list[int]]:
+        """An include's text, or what to copy in its place."""
         n = nodes[at]
-        if at in by_pre:
-            _, href, target, how, pointer, _ = by_pre[at]
-            if split(href)[4]:
-                errors.append(f"fragment in {href!r}")
-            if not href and not pointer:
-                errors.append("neither href nor xpointer")
-            source = xml if not href else found.get(target)
-            if source is not None:
-                if how == "text":
-                    return serialize([[0, 0, 0, None, "text", None, None, None, None, source]])
-                inner = parse(source, base_uri=target).nodes
-                top = point(inner, pointer) if pointer else 0
-                if top is not None:
-                    text = serialize(inner, top)
-                    return re.sub(r"^<!DOCTYPE [^>]*>", "", text)
-            fall = [m for m in nodes[at + 1 : at + n[1] + 1] if m[3] == at and m[4] == "element" and m[7] == "fallback" and m[5] == XI]
-            if len(fall) != 1:
-                errors.append(f"{target!r} isn't there" if not fall else "more than one fallback")
-                return ""
-            return "".join(copied(m[0]) for m in nodes[fall[0][0] + 1 : fall[0][0] + fall[0][1] + 1] if m[3] == fall[0][0] and m[4] not in ("attribute", "namespace"))
-        if n[4] != "element":
-            return serialize(nodes, at)
+        _, href, target, how, pointer, _ = by_pre[at]
         own = [m for m in nodes[at + 1 : at + n[1] + 1] if m[3] == at]
-        head = serialize([[0, len(k := [m for m in own if m[4] in ("attribute", "namespace")]), *n[2:]], *[[i + 1, 0, *m[2:]] for i, m in enumerate(k)]])
-        close = f"</{n[8]}>"
-        return head[: -len(close)] + "".join(copied(m[0]) for m in own if m[4] not in ("attribute", "namespace")) + close
-
-    text = "".join(copied(n[0]) for n in nodes if n[3] == 0 and n[4] != "doctype")
-    return (None, errors[0]) if errors else (text, None)
-
-
-def expanded(docs: DataFrame, resources: DataFrame, rounds: int = 16, uri_col: str = "uri", xml_col: str = "xml") -> DataFrame:
+        given = {m[7]: m[9] for m in own if m[4] == "attribute" and m[5] is None}
+        if split(href)[4]:
+            errors.append(f"fragment in {href!r}")
+        if not href and not pointer:
+            errors.append("neither href nor xpointer")
+        if how not in ("xml", "text"):
+            errors.append(f"parse={how!r}")
+        for name in ("accept", "accept-language"):
+            if any(not " " <= c <= "~" for c in given.get(name, "")):
+                errors.append(f"{name} isn't a header's value")
+        chain = given[CHAIN].split(" ") if CHAIN in given else [here]
+        step = (target if href else uri).replace(" ", "%20") + (f"#{pointer.replace(' ', '%20')}" if pointer else "")
+        if how == "xml" and (step in chain or step == here):
+            errors.append("includes itself")
+            return "", []
+        source = xml if not href else found.get(target)
+        if source is not None:
+            if how == "text":
+                return escape_text(source), []
+            up = nodes[n[3]]
+            text = brought(source, target if href else uri, pointer, [*chain, step], up[13] or "", up[14])
+            if text is not None:
+                return text, []
+        fall = [m for m in own if m[4] == "element" and m[7] == "fallback" and m[5] == XI]
+        if len(fall) != 1:
+            errors.append(f"{target!r} isn't there" if not fall else "more than one fallback")
+            return "", []
+        return "", [m[0] for m in nodes[fall[0][0] + 1 : fall[0][0] + fall[0][1] + 1] if m[3] == fall[0][0] and m[4] not in ("attribute", "namespace")]
+
+    out: list[str] = []
+    todo: list = [n[0] for n in reversed(nodes) if n[3] == 0 and n[4] != "doctype"]  # nodes to copy, and text that closes what is open
+    while todo:
+        at = todo.pop()
+        if isinstance(at, str):
+            out.append(at)
+        elif at in by_pre:
+            text, instead = replaced(at)
+            out.append(text)
+            todo += reversed(instead)
+        elif nodes[at][4] != "element":
+            out.append(serialize([[0, 0, *nodes[at][2:]]]))
+        else:
+            out.append(start_tag(nodes, at))
+            todo.append(f"</{nodes[at][8]}>")
+            todo += [c for c in reversed([*_children(nodes, at)]) if nodes[c][4] not in ("attribute", "namespace")]
+    return (None, errors[0]) if errors else ("".join(out), None)
+
+
+def expanded(docs: DataFrame, resources: DataFrame, uri_col: str = "uri", xml_col: str = "xml") -> DataFrame:
     """(uri, xml, error): documents with all includes expanded. ``resources`` has (uri, xml).
 
     A round joins every document's targets to the resources and splices them in;
-    it ends when no document has an include. A document that still has one
-    after ``rounds`` includes itself.
+    it ends when no document has an include. Includes that were brought in know
+    the chain of what they were read from, and one that leads back into it is an error,
+    so chains of any length end. What is brought in gets xml:base and xml:lang
+    where its own differ from those of the place.
     """
     now = docs.select(F.col(uri_col).cast("string").alias("uri"), F.col(xml_col).alias("xml"), F.lit(None).cast("string").alias("error"))
     have = resources.select(F.col("uri").alias("target"), F.col("xml").alias("source"))
@@ -185,12 +243,9 @@ def expanded(docs: DataFrame, resources: DataFrame, rounds: int = 16, uri_col: s
                     out.append((uri, xml, error))
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.string()) for i in range(3)], ["uri", "xml", "error"])
 
-
-    for _ in range(rounds):
+    while True:
         links = edges(now.where("error IS NULL"), "uri", "xml").select("uri", "target").distinct()
         if links.limit(1).count() == 0:
             return now
         found = links.join(have, "target").groupBy("uri").agg(F.collect_list(F.struct("target", "source")).alias("found"))
         now = written(now.join(found, "uri", "left").select("uri", "xml", "error", "found").mapInArrow(run, schema), "include")
-    left = edges(now.where("error IS NULL")).select("uri").distinct().withColumn("__left", F.lit("includes itself"))
-    return now.join(left, "uri", "left").select("uri", F.when(F.col("__left").isNull(), F.col("xml")).alias("xml"), F.coalesce("error", "__left").alias("error"))

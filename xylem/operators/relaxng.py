@@ -3,7 +3,7 @@
 A schema is compiled on the driver to a pattern whose definitions are looked up
 by name, and travels with the job. Validation follows Clark's derivatives: each
 event turns the pattern into the pattern of what may still come. Patterns are
-interned tuples, so derivatives are remembered by identity within a task.
+tuples; derivatives are remembered by pattern within a task.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from xylem.functions import xsd
 from xylem.functions.uri import resolve
+from xylem.operators.relaxng_checks import Checker, Restriction
 from xylem.operators.relaxng_compact import Compact, CompactError
 from xylem.sources.parser import parse
 
@@ -75,9 +76,17 @@ _KINDS = {"group": group, "interleave": interleave, "choice": choice}
 class _Loader:
     def __init__(self, resources: dict[str, str]) -> None:
         self.resources, self.scopes, self.definitions, self.grammars = resources, [], {}, 0
+        self.reading: list[str] = []  # schemas that are being read, each from the one before
 
     def load(self, text: str, base: str, compact: bool) -> Schema:
-        return Schema(self.pattern(self.tree(text, base, compact)), self.definitions)
+        if base:
+            self.reading.append(base)
+        start = self.pattern(self.tree(text, base, compact))
+        try:
+            Checker(start, self.definitions).check()
+        except Restriction as e:
+            raise SchemaError(str(e)) from e
+        return Schema(start, self.definitions)
 
     def tree(self, xml: str, base: str, compact: bool | None = None) -> dict:
         """A schema's root element; a name that ends in .rnc tells compact syntax where nothing else does."""
@@ -126,6 +135,8 @@ class _Loader:
         uri = resolve(e["attrs"]["href"], e["base"])
         if uri not in self.resources:
             raise SchemaError(f"no resource {uri!r}")
+        if uri in self.reading:
+            raise SchemaError(f"{uri!r} refers to itself")
         return self.resources[uri], uri
 
     def all(self, es: list[dict], join=group):
@@ -177,7 +188,10 @@ class _Loader:
             return ("value", e["library"] if "type" in a else "", a.get("type", "token"), e["text"], e["nsuri"])
         if k == "externalRef":
             text, uri = self.fetch(e)
-            return self.document(text, uri)
+            self.reading.append(uri)
+            out = self.document(text, uri)
+            self.reading.pop()
+            return out
         if k == "ref":
             return ("ref", f"{self.scopes[-1]} {a['name']}")
         if k == "parentRef":
@@ -222,7 +236,9 @@ class _Loader:
                 yield from self.components(c["children"])
             elif c["name"] == "include":
                 text, uri = self.fetch(c)
+                self.reading.append(uri)
                 inner = list(self.components(self.tree(text, uri)["children"]))
+                self.reading.pop()
                 own = list(self.components(c["children"]))
                 names = {n for n, _, _ in own}
                 if names - {n for n, _, _ in inner}:
@@ -436,12 +452,13 @@ class Validator:
         for n in nodes:
             children.setdefault(n[3], []).append(n)
 
-        def element(p, n):
-            was, name = p, n[8]
+        def opened(p, n):
+            """The pattern of an element's content, or None; and its children that are elements, with text between where both are."""
+            name = n[8]
             p = self.open(p, n[5] or "", n[7])
             if p == NOT_ALLOWED:
                 out.append(("element", name))
-                return was
+                return None, ()
             own = children.get(n[0], [])
             for a in own:
                 if a[4] == "attribute":
@@ -456,36 +473,45 @@ class Validator:
             else:
                 p = q
             inner = [c for c in own if c[4] in ("element", "text", "cdata")]
-            if not any(c[4] == "element" for c in inner):
-                s = "".join(c[9] for c in inner)
-                q = self.text(p, s)
-                if not s.strip(" \t\r\n"):
-                    q = choice(p, q)
-                if q == NOT_ALLOWED:
-                    out.append(("text", name))
-                else:
-                    p = q
-            else:
-                for c in inner:
-                    if c[4] == "element":
-                        p = element(p, c)
-                    elif c[9].strip(" \t\r\n"):
-                        q = self.text(p, c[9])
-                        if q == NOT_ALLOWED:
-                            out.append(("text", name))
-                        else:
-                            p = q
-            q = self.end(p)
+            if any(c[4] == "element" for c in inner):
+                return p, inner
+            s = "".join(c[9] for c in inner)
+            q = self.text(p, s)
+            if not s.strip(" \t\r\n"):
+                q = choice(p, q)
             if q == NOT_ALLOWED:
-                if not out or out[-1][1] != name:
-                    out.append(("incomplete", name))
-                q = self.forced_end(p)
-            return q
+                out.append(("text", name))
+            else:
+                p = q
+            return p, ()
 
         root = next((n for n in nodes if n[4] == "element"), None)
         if root is None:
             return [("element", "")]
-        p = element(self.schema.start, root)
+        p, stack = self.schema.start, [(None, iter([root]))]  # elements that are open, and what is left of their content
+        while stack:
+            n, rest = stack[-1]
+            c = next(rest, None)
+            if c is None:
+                stack.pop()
+                if n is not None:
+                    q = self.end(p)
+                    if q == NOT_ALLOWED:
+                        if not out or out[-1][1] != n[8]:
+                            out.append(("incomplete", n[8]))
+                        q = self.forced_end(p)
+                    p = q
+            elif c[4] == "element":
+                q, inner = opened(p, c)
+                if q is not None:
+                    p = q
+                    stack.append((c, iter(inner)))
+            elif c[9].strip(" \t\r\n"):
+                q = self.text(p, c[9])
+                if q == NOT_ALLOWED:
+                    out.append(("text", n[8]))
+                else:
+                    p = q
         if not out and not self.nullable(p):
             out.append(("incomplete", root[8]))
         return out

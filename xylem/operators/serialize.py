@@ -29,12 +29,6 @@ def quoted(s: str) -> str:
     return f'"{s}"' if '"' not in s else f"'{s}'" if "'" not in s else '"' + s.replace('"', "&quot;") + '"'
 
 
-def serialize(nodes: list, at: int = 0) -> str:
-    out: list[str] = []
-    _plain(nodes, at, out)
-    return "".join(out)
-
-
 def _children(nodes: list, at: int) -> Iterator[int]:
     i, end = at + 1, at + nodes[at][SIZE]
     while i <= end:
@@ -42,41 +36,54 @@ def _children(nodes: list, at: int) -> Iterator[int]:
         i += nodes[i][SIZE] + 1
 
 
-def _plain(nodes: list, at: int, out: list[str]) -> None:
-    n = nodes[at]
+def walked(nodes: list, at: int, tags, leaf) -> str:
+    """Text of a subtree of any depth. ``tags`` gives an element's start and end, ``leaf`` any other node's text."""
+    out: list[str] = []
+    ends: list[tuple[int, str]] = []  # last node and end tag of each open element
+    i, stop = at, at + nodes[at][SIZE]
+    while i <= stop:
+        while ends and i > ends[-1][0]:
+            out.append(ends.pop()[1])
+        n = nodes[i]
+        if n[KIND] == "element":
+            start, end = tags(i)
+            out.append(start)
+            ends.append((i + n[SIZE], end))
+        elif n[KIND] not in ("document", "namespace", "attribute"):
+            out.append(leaf(n))
+        i += 1
+    return "".join(out) + "".join(end for _, end in reversed(ends))
+
+
+def start_tag(nodes: list, at: int) -> str:
+    out = [f"<{nodes[at][QNAME]}"]
+    for c in _children(nodes, at):
+        m = nodes[c]
+        if m[KIND] not in ("namespace", "attribute"):
+            break
+        value, q = escape_attribute(m[VALUE])
+        name = m[QNAME] if m[KIND] == "attribute" else f"xmlns{':' + m[LOCAL] if m[LOCAL] else ''}"
+        out.append(f" {name}={q}{value}{q}")
+    return "".join(out) + ">"
+
+
+def _leaf(n: list) -> str:
     kind = n[KIND]
-    if kind == "element":
-        out.append(f"<{n[QNAME]}")
-        body = []
-        for c in _children(nodes, at):
-            m = nodes[c]
-            if m[KIND] == "namespace":
-                value, q = escape_attribute(m[VALUE])
-                out.append(f" xmlns{':' + m[LOCAL] if m[LOCAL] else ''}={q}{value}{q}")
-            elif m[KIND] == "attribute":
-                value, q = escape_attribute(m[VALUE])
-                out.append(f" {m[QNAME]}={q}{value}{q}")
-            else:
-                body.append(c)
-        out.append(">")
-        for c in body:
-            _plain(nodes, c, out)
-        out.append(f"</{n[QNAME]}>")
-    elif kind == "document":
-        for c in _children(nodes, at):
-            _plain(nodes, c, out)
-    elif kind == "text":
-        out.append(escape_text(n[VALUE]))
-    elif kind == "cdata":
-        out.append(f"<![CDATA[{n[VALUE]}]]>")
-    elif kind == "comment":
-        out.append(f"<!--{n[VALUE]}-->")
-    elif kind == "pi":
-        out.append(f"<?{n[LOCAL]} {n[VALUE]}?>" if n[VALUE] else f"<?{n[LOCAL]}?>")
-    elif kind == "entity_ref":
-        out.append(f"&{n[LOCAL]};")
-    elif kind == "doctype":
-        out.append(f"<!DOCTYPE {n[LOCAL]}>")
+    if kind == "text":
+        return escape_text(n[VALUE])
+    if kind == "cdata":
+        return f"<![CDATA[{n[VALUE]}]]>"
+    if kind == "comment":
+        return f"<!--{n[VALUE]}-->"
+    if kind == "pi":
+        return f"<?{n[LOCAL]} {n[VALUE]}?>" if n[VALUE] else f"<?{n[LOCAL]}?>"
+    return f"&{n[LOCAL]};" if kind == "entity_ref" else f"<!DOCTYPE {n[LOCAL]}>"
+
+
+def serialize(nodes: list, at: int = 0) -> str:
+    if nodes[at][KIND] in ("namespace", "attribute"):
+        return ""
+    return walked(nodes, at, lambda i: (start_tag(nodes, i), f"</{nodes[i][QNAME]}>"), _leaf)
 
 
 _TEXT = {"&": "&amp;", "<": "&lt;", ">": "&gt;", "\r": "&#xD;"}
@@ -85,46 +92,40 @@ _ATTRIBUTE = {"&": "&amp;", "<": "&lt;", '"': "&quot;", "\t": "&#x9;", "\n": "&#
 
 def canonical(nodes: list, comments: bool = False) -> str:
     """Canonical XML of a whole document: 1.0 and 1.1 agree there."""
-    out: list[str] = []
-    seen_root = False
-    for c in _children(nodes, 0):
-        kind = nodes[c][KIND]
-        if kind == "element":
-            _canonical(nodes, c, {"": ""}, comments, out)
-            seen_root = True
-        elif kind == "pi" or (kind == "comment" and comments):
-            part: list[str] = []
-            _canonical(nodes, c, {}, comments, part)
-            out += ["\n", *part] if seen_root else [*part, "\n"]
-    return "".join(out)
+    scopes: dict[int, dict[str, str]] = {}
 
-
-def _canonical(nodes: list, at: int, scope: dict[str, str], comments: bool, out: list[str]) -> None:
-    n = nodes[at]
-    kind = n[KIND]
-    if kind in ("text", "cdata"):
-        out.append("".join(_TEXT.get(c, c) for c in n[VALUE]))
-    elif kind == "comment":
-        if comments:
-            out.append(f"<!--{n[VALUE]}-->")
-    elif kind == "pi":
-        out.append(f"<?{n[LOCAL]} {n[VALUE]}?>" if n[VALUE] else f"<?{n[LOCAL]}?>")
-    elif kind == "element":
-        spaces, attrs, body = [], [], []
+    def tags(at: int) -> tuple[str, str]:
+        n, spaces, attrs = nodes[at], [], []
         for c in _children(nodes, at):
             m = nodes[c]
-            (spaces if m[KIND] == "namespace" else attrs if m[KIND] == "attribute" else body).append(m)
+            if m[KIND] not in ("namespace", "attribute"):
+                break
+            (spaces if m[KIND] == "namespace" else attrs).append(m)
+        scope = scopes.get(n[PARENT], {"": ""})
         new = {m[LOCAL]: m[VALUE] for m in spaces if scope.get(m[LOCAL]) != m[VALUE] and m[LOCAL] != "xml"}
-        scope = scope | new
-        out.append(f"<{n[QNAME]}")
+        scopes[at] = scope | new if new else scope
+        out = [f"<{n[QNAME]}"]
         for prefix in sorted(new):
             out.append(f' xmlns{":" + prefix if prefix else ""}="{"".join(_ATTRIBUTE.get(c, c) for c in new[prefix])}"')
         for m in sorted(attrs, key=lambda m: (m[NS] or "", m[LOCAL])):
             out.append(f' {m[QNAME]}="{"".join(_ATTRIBUTE.get(c, c) for c in m[VALUE])}"')
-        out.append(">")
-        for m in body:
-            _canonical(nodes, m[PRE], scope, comments, out)
-        out.append(f"</{n[QNAME]}>")
+        return "".join(out) + ">", f"</{n[QNAME]}>"
+
+    def leaf(n: list) -> str:
+        if n[KIND] in ("text", "cdata"):
+            return "".join(_TEXT.get(c, c) for c in n[VALUE])
+        return _leaf(n) if n[KIND] == "pi" or (n[KIND] == "comment" and comments) else ""
+
+    out: list[str] = []
+    seen_root = False
+    for c in _children(nodes, 0):
+        kind = nodes[c][KIND]
+        if kind == "element":
+            out.append(walked(nodes, c, tags, leaf))
+            seen_root = True
+        elif text := leaf(nodes[c]) if kind in ("pi", "comment") else "":
+            out += ["\n", text] if seen_root else [text, "\n"]
+    return "".join(out)
 
 
 class Writer:

@@ -10,9 +10,13 @@ from pyspark.sql import DataFrame
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage by a table in ``spark.checkpoint.dir``; a local folder only where that is unset."""
+    """Cut lineage by a table in ``spark.checkpoint.dir``; a local folder only where that is unset and all runs on this machine."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", "xylem")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", "xylem")
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -30,7 +30,7 @@ SIGNATURES = (
     (b"\x4c\x6f\xa7\x94", "cp037"),
 )
 _DECLARED = re.compile(rb"<\?xml\s[^>]*?encoding\s*=\s*[\"']([A-Za-z][A-Za-z0-9._-]*)[\"']")
-_DECLARATION = re.compile(r"(<\?xml\s[^>]*?)\s+encoding\s*=\s*([\"'])[^\"']*\2")
+_DECLARATION = re.compile(r"\A(<\?xml\s[^>]*?)\s+encoding\s*=\s*([\"'])[^\"']*\2")
 
 #: Names under which further codecs are known; ``register_encoding`` adds to them.
 ALIASES: dict[str, str] = {}
@@ -185,6 +185,11 @@ class Parser:
         self.open.append(pre)
         self.leaves[-1] = None
         self.leaves.append([])
+        for k, v in pairs:  # before any attribute has a row, whatever their order
+            if k == "xml:lang":
+                self.nodes[pre][14] = v
+            elif k == "xml:base":
+                self.nodes[pre][13] = resolve(v, self.nodes[pre][13] or "")
         for p, uri in bound:
             self.row("namespace", None, None, p, p, uri)
         attrs, seen = [], set()
@@ -201,10 +206,6 @@ class Parser:
                 v = " ".join(v.split())
             self.row("attribute", a_ns, a_prefix, a_local, k, v, kind, i < n_specified, is_id)
             attrs.append((a_ns, a_local, k, v, i < n_specified))
-            if k == "xml:lang":
-                self.nodes[pre][14] = v
-            elif k == "xml:base":
-                self.nodes[pre][13] = resolve(v, self.nodes[pre][13] or "")
         self.event("startElement", ns, prefix, local, name, None, attrs)
 
     def end(self, name: str) -> None:
@@ -306,7 +307,7 @@ def parse(xml: str | bytes | None, encoding: str | None = None, **options) -> Pa
     p = Parser(**options)
     try:
         text = decode(xml, encoding) if isinstance(xml, (bytes, bytearray)) else xml or ""
-        p.feed(_DECLARATION.sub(r"\1", text[:256], count=1) + text[256:], True)
+        p.feed(_DECLARATION.sub(r"\1", text, count=1), True)  # at the very start alone
     except (UnicodeDecodeError, LookupError) as e:
         p.errors.append(("fatal error", "encoder", "UnsupportedEncoding", 1, 1, str(e)))
     return p
