@@ -123,6 +123,11 @@ class Planner:
             position, size = self.fresh(), self.fresh()
             frame = frame.withColumn(position, F.row_number().over(window).cast("double")).withColumn(size, F.count(F.lit(1)).over(whole).cast("double"))
         names = frame.columns
+        negated = pred[0] == "call" and pred[1] == "not"
+        if (path := pred[2][0] if negated else pred) and self.is_below(path):  # whether something is there is a semi-join, whether not an anti-join
+            origin = self.fresh()
+            there = self.below(path, origin).select(F.col("doc_id").alias("__d"), origin)
+            return frame.join(there, (F.col("doc_id") == F.col("__d")) & (F.col("pre") == F.col(origin)), "left_anti" if negated else "left_semi")
         frame, x = self.scalar(frame, pred, position, size)
         return frame.where(self.boolean(x, kind_of(pred))).select(*[n for n in names if n not in (position, size)])
 
@@ -175,6 +180,33 @@ class Planner:
         joined = inner.groupBy("c.doc_id", "c.pre").agg(F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct("n.pre", "n.value"))), lambda x: x["value"])).alias("__t"))
         return frame.join(joined, ["doc_id", "pre"], "left").withColumn("__s", F.coalesce("value", "__t", F.lit(""))).drop("__t")
 
+    @staticmethod
+    def is_below(e) -> bool:
+        """Whether a path goes down by children and attributes alone, without predicates."""
+        return e[0] == "path" and not e[1] and e[2] is None and bool(e[3]) and all(axis in ("child", "attribute") and not preds for axis, _, preds in e[3])
+
+    def below(self, e, origin: str) -> DataFrame:
+        """All nodes that such a path finds from any node, with the node it starts from; read bottom up, without the contexts."""
+        found = None
+        for axis, test, _ in reversed(e[3]):
+            kind = F.col("n.kind")
+            on = kind == "attribute" if axis == "attribute" else ~kind.isin("attribute", "namespace", "doctype")
+            nodes = self.nodes.alias("n").where(on & self.tested(axis, test))
+            if found is None:
+                found = nodes.select(*[F.col(f"n.{x}") for x in NODE], F.col("n.parent").alias(origin))
+            else:
+                up = nodes.select(F.col("n.doc_id").alias("__d"), F.col("n.pre").alias("__p"), F.col("n.parent").alias("__up"))
+                found = found.join(up, (F.col("doc_id") == F.col("__d")) & (F.col(origin) == F.col("__p"))).select(*NODE, F.col("__up").alias(origin))
+        return found
+
+    @staticmethod
+    def has_text(e) -> bool:
+        """Whether the nodes of a path surely hold their own string-values: attributes, text, comments, instructions."""
+        if e[0] != "path" or not e[3]:
+            return False
+        axis, test, _ = e[3][-1]
+        return axis in ("attribute", "namespace") or (test[0] == "type" and test[1] != "node")
+
     # Scalars: the frame, with columns joined on where needed, and a Column over it.
 
     def boolean(self, x: Column, kind: str) -> Column:
@@ -189,10 +221,13 @@ class Planner:
     def about(self, frame: DataFrame, e, with_text: bool, **aggregates: Column) -> tuple[DataFrame, dict[str, Column]]:
         """Aggregates over a node-set of each of the frame's nodes; null where it is empty."""
         origin = self.fresh()
-        sources = frame.select(*NODE).dropDuplicates(["doc_id", "pre"]).withColumn(origin, F.col("pre"))
-        found = self.nodeset(e, sources, [origin])
+        if self.is_below(e):
+            found = self.below(e, origin)
+        else:
+            sources = frame.select(*NODE).dropDuplicates(["doc_id", "pre"]).withColumn(origin, F.col("pre"))
+            found = self.nodeset(e, sources, [origin])
         if with_text:
-            found = self.with_text(found)
+            found = found.withColumn("__s", F.coalesce("value", F.lit(""))) if self.has_text(e) else self.with_text(found)
         names = {k: self.fresh() for k in aggregates}
         doc = self.fresh()
         agg = found.groupBy(F.col("doc_id").alias(doc), origin).agg(*[v.alias(names[k]) for k, v in aggregates.items()])
@@ -337,7 +372,13 @@ class Planner:
 
     def select(self, xpath: str) -> DataFrame:
         """The nodes an expression selects in every document: NODE columns and string_value."""
-        return self.with_text(self.nodeset(self.bound(compile_xpath(xpath)))).withColumnRenamed("__s", "string_value")
+        e = self.bound(compile_xpath(xpath))
+        found = self.nodeset(e)
+        return found.withColumn("string_value", F.coalesce("value", F.lit(""))) if self.has_text(e) else self.with_text(found).withColumnRenamed("__s", "string_value")
+
+    def nodes_of(self, xpath: str) -> DataFrame:
+        """The nodes alone, without their string-values, which may cost a join."""
+        return self.nodeset(self.bound(compile_xpath(xpath)))
 
     def evaluate(self, xpath: str) -> DataFrame:
         """(doc_id, result): a number, string or Boolean per document; of a node-set its string."""

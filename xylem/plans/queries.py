@@ -140,7 +140,7 @@ for _name, _xpath, _sql in (
 
 def flagship(spark, sf):
     """Items of over 30 per order document."""
-    return orders(spark, sf).select("//item[qty>30]").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_items"))
+    return orders(spark, sf).nodes_of("//item[qty>30]").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_items"))
 
 
 register("m0_items", flagship, "SELECT l_orderkey AS doc_id, count(*) AS n_items FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 30 GROUP BY 1")

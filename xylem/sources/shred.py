@@ -27,20 +27,25 @@ def per_document(docs: DataFrame, rows_of: Callable[[Parser], list], schema: str
         arrow = to_arrow_schema(full)
         names = [f.name for f in full.fields]
 
-        def batch_of(held):
-            columns = list(zip(*held, strict=True)) if held else [[] for _ in names]
+        def batch_of(ids, held):
+            columns = [ids, *zip(*held, strict=True)]
             nested = lambda v, t: [None if x is None else [dict(zip([f.name for f in t.value_type], i, strict=True)) for i in x] for x in v]
             return pa.RecordBatch.from_arrays([pa.array(nested(c, t) if pa.types.is_list(t) and pa.types.is_struct(t.value_type) else c, t) for c, t in zip(columns, arrow.types, strict=True)], names)
 
         for batch in batches:
+            ids: list = []
             held: list = []
             for id_, xml in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held += [(id_, *r) for r in rows_of(parse(xml, **options))]
-                while len(held) >= rows:
-                    yield batch_of(held[:rows])
-                    held = held[rows:]
+                found = rows_of(parse(xml, **options))
+                held += found
+                ids += [id_] * len(found)
+                if len(held) >= rows:
+                    full_ = len(held) - len(held) % rows
+                    for at in range(0, full_, rows):
+                        yield batch_of(ids[at : at + rows], held[at : at + rows])
+                    ids, held = ids[full_:], held[full_:]
             if held:
-                yield batch_of(held)
+                yield batch_of(ids, held)
 
     return docs.select(F.col(id_col), F.col(xml_col)).mapInArrow(run, full)
 
