@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import give_back
+from .common import give_back, lean
 
 #: Bytes of a chunk; a longer text has one of its own.
 CHUNK = 4 << 20
@@ -56,7 +56,7 @@ def packed_chunks(docs: DataFrame, keep: list[str], text_col: str, id_col: str)
         ids, sizes, texts, kept = [], [], [], []
         give_back()
 
-    return d.mapInArrow(pack, schema)
+    return d.mapInArrow(lean(pack), schema)
 
 
 def opened(blob: bytes, sizes: bytes) -> tuple[np.ndarray, np.ndarray]:

@@ -6,13 +6,14 @@ import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of an Arrow batch, for rows that are small enough.
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 #: A word, as Java and Python regular expressions both read it.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -33,16 +34,29 @@ def small_batches(spark: SparkSession) -> None:
 def give_back() -> None:
     """Return freed memory to the system, where the C library can: a worker outlives its tasks.
 
-    From the first call on, arrays of over 4 MB have pages of their own, which go as the array does.
+    From the first call on, arrays of over 1 MB have pages of their own, which go as the array does, Arrow's too.
     """
+    if pa.default_memory_pool().backend_name != "system":
+        pa.default_memory_pool().release_unused()
+        pa.set_memory_pool(pa.system_memory_pool())
     library = ctypes.CDLL(None)
     if hasattr(library, "mallopt"):
-        library.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD
-    pa.default_memory_pool().release_unused()
+        library.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
     if hasattr(library, "malloc_trim"):
         library.malloc_trim(0)
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """An Arrow function that gives freed memory back before its first batch and after its last."""
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
+        yield from run(batches)
+        give_back()
+
+    return thin
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; a local one only where that is unset and all runs on this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)

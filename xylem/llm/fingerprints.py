@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, read_table
+from .common import lean, parts, read_table
 
 #: Cells in each of a sketch's three parts, and how much larger the next try is.
 FIRST, GROWTH = 4, 8
@@ -167,7 +167,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 held = None if last else (id_, text, version)
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (batch.schema.field(3).type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()), strict=True)], names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def op2(spark, sf_dir):

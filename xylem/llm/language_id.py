@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table, remainder
+from .common import lean, read_table, remainder
 
 BITS = 15
 STEPS = 12
@@ -88,7 +88,7 @@ def trigram_counts(docs: DataFrame) -> DataFrame:
             cell = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(cell), pa.string()), pa.array(cell.astype(np.int32)), pa.array(n[cell])], ["lang", "cell", "n"])
 
-    return docs.mapInArrow(count, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(lean(count), "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
 
 
 class LanguageModel:
@@ -125,7 +125,7 @@ class LanguageModel:
                         score.append(min(1.0, share))
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"])
 
-        return docs.select(*keep, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
+        return docs.select(*keep, F.col(text_col).cast("string").alias("__text")).mapInArrow(lean(run), schema)
 
 
 def op1(spark, sf_dir):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import parts, read_table, written
+from .common import lean, parts, read_table, written
 
 CURVES, DIMENSIONS, BITS = 4, 8, 7
 #: Rows of a range, bound on rows that fit the curves, on queries that fit the span, share of neighbours they must find.
@@ -144,7 +144,7 @@ def merged(rows: DataFrame, k: int) -> DataFrame:
         if now is not None:
             yield packed([now], [(ids, scores)])
 
-    return rows.repartition(parts(rows.sparkSession), "rep").sortWithinPartitions("rep").mapInArrow(run, _PACKED)
+    return rows.repartition(parts(rows.sparkSession), "rep").sortWithinPartitions("rep").mapInArrow(lean(run), _PACKED)
 
 
 def neighbours(table: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -186,7 +186,7 @@ def neighbours(table: DataFrame, k: int = 20, every: int = 20, id_col: str = "ve
                 if len(batch):
                     yield packed(list(range(len(q))), list(best(q, batch.column(0).to_numpy(), vectors(batch.column(1)), k + 1)))
 
-        truth = {r["rep"]: [i for i in r["ids"] if i != q_id[r["rep"]]][:k] for r in merged(candidates.mapInArrow(scan, _PACKED), k + 1).collect()}
+        truth = {r["rep"]: [i for i in r["ids"] if i != q_id[r["rep"]]][:k] for r in merged(candidates.mapInArrow(lean(scan), _PACKED), k + 1).collect()}
         true_rows = candidates.where(F.col("id").isin([i for t in truth.values() for i in t])).dropDuplicates(["id"]).toArrow()  # at most TRIED * k
         where = dict(zip(true_rows["id"].to_pylist(), curves.ranges(curves.lifted(vectors(true_rows["v"].combine_chunks()))), strict=True))
         home = curves.ranges(curves.aimed(q))
@@ -224,8 +224,8 @@ def neighbours(table: DataFrame, k: int = 20, every: int = 20, id_col: str = "ve
         return pa.Table.from_batches([packed(right["rep"].to_pylist(), list(best(q, left["id"].to_numpy(), x, k + 1)))])
 
     kind = candidates.schema["v"].dataType.simpleString()
-    placed = candidates.select("id", "v").mapInArrow(place, f"curve int, piece long, id long, v {kind}")
-    aimed = queries.select("rep", "v").mapInArrow(aim, f"curve int, piece long, rep long, v {kind}")
+    placed = candidates.select("id", "v").mapInArrow(lean(place), f"curve int, piece long, id long, v {kind}")
+    aimed = queries.select("rep", "v").mapInArrow(lean(aim), f"curve int, piece long, rep long, v {kind}")
     found = placed.groupBy("curve", "piece").cogroup(aimed.groupBy("curve", "piece")).applyInArrow(search, _PACKED)
     top = merged(found, k + 1)
     members = asked.join(queries, "v").select(F.col("id").alias("query_id"), "rep").distinct()

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import give_back, read_table, written
+from .common import give_back, lean, read_table, written
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of a chunk, and of a text that is not cut.
@@ -283,7 +283,7 @@ def encoded(docs: DataFrame, keep: list[str], text_col: str = "text", model: str
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(list(map(len, texts)), pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(ok)], [*names, *last])
         give_back()
 
-    small = d.where(F.length("text") <= chunk).mapInArrow(short, result)
+    small = d.where(F.length("text") <= chunk).mapInArrow(lean(short), result)
     cut_schema = T.StructType([*kept.fields, *T._parse_datatype_string("row string, k int, n_chars long, s string, lo int, hi int").fields])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,7 +296,7 @@ def encoded(docs: DataFrame, keep: list[str], text_col: str = "text", model: str
                 same = [c.slice(i, 1).take(pa.array([0] * n)) for c in batch.columns[: len(names)]]
                 yield pa.RecordBatch.from_arrays([*same, pa.array([row] * n), pa.array(range(n), pa.int32()), pa.array([len(text)] * n, pa.int64()), *(pa.array([c[j] for c in chunks], t) for j, t in enumerate((pa.string(), pa.int32(), pa.int32())))], cut_schema.fieldNames())
 
-    chunks = written(d.where(F.length("text") > chunk).mapInArrow(cut, cut_schema), "piece-chunks")
+    chunks = written(d.where(F.length("text") > chunk).mapInArrow(lean(cut), cut_schema), "piece-chunks")
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(held.value)
@@ -311,7 +311,7 @@ def encoded(docs: DataFrame, keep: list[str], text_col: str = "text", model: str
         return pa.table({"row": table["row"], "k": table["k"], "states": pa.array(flat, pa.list_(pa.int32()))})
 
     cells = chunks.select("row", "k", "s", "lo", "hi")
-    states = cells.mapInArrow(matrices, "row string, k int, m array<long>").groupBy("row").applyInArrow(combine, "row string, k int, states array<int>")
+    states = cells.mapInArrow(lean(matrices), "row string, k int, m array<long>").groupBy("row").applyInArrow(combine, "row string, k int, states array<int>")
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(held.value)
@@ -320,7 +320,7 @@ def encoded(docs: DataFrame, keep: list[str], text_col: str = "text", model: str
             own = [s[lo:hi] for s, lo, hi in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.string()), pa.array(ids, pa.list_(pa.int32()))], ["row", "k", "own", "ids"])
 
-    traced = cells.join(states, ["row", "k"]).select("row", "k", "s", "lo", "hi", "states").mapInArrow(trace, "row string, k int, own string, ids array<int>")
+    traced = cells.join(states, ["row", "k"]).select("row", "k", "s", "lo", "hi", "states").mapInArrow(lean(trace), "row string, k int, own string, ids array<int>")
     whole = traced.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("k", "ids", "own"))).alias("p")).select("row", F.flatten(F.col("p.ids")).alias("ids"), F.concat_ws("", F.col("p.own")).alias("text"))
     heads = chunks.where("k = 0").select(*names, "row", "n_chars")
 
@@ -331,7 +331,7 @@ def encoded(docs: DataFrame, keep: list[str], text_col: str = "text", model: str
             ok = [enc.decode(i) == t[1:].replace(SPACE, " ") for i, t in zip(batch.column(at).to_pylist(), batch.column(at + 1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: at + 1], pa.array(ok)], [*names, *last])
 
-    giant = heads.join(whole, "row").select(*names, "n_chars", "ids", "text").mapInArrow(decoded, result)
+    giant = heads.join(whole, "row").select(*names, "n_chars", "ids", "text").mapInArrow(lean(decoded), result)
     return small.unionByName(giant).select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], *last)
 
 
@@ -348,7 +348,7 @@ def decoded(rows: DataFrame, ids_col: str = "ids", out_col: str = "text", model:
             text = [None if i is None else enc.decode(i) for i in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.string())], [*names, out_col])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def op8(spark, sf_dir):

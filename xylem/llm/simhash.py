@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table, written
+from .common import lean, read_table, written
 from .components import components
 
 SHINGLE, SEED, TAU, M = 3, 42, 2, 16
@@ -57,7 +57,7 @@ def with_fingerprint(docs: DataFrame, text_col: str, keep: list[str]) -> DataFra
             fp = np.array([fingerprint((t or "").encode("utf-8", "surrogatepass")) for t in batch.column(len(keep)).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(fp.view(np.int64))], [*keep, "__fp"])
 
-    return docs.select(*keep, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text_col).cast("string").alias("__text")).mapInArrow(lean(run), schema)
 
 
 def segments(x: Column, start: Column, length: int) -> Column:

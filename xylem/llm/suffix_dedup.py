@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .chunks import NO_ID, opened, packed_chunks, range_bits
-from .common import give_back, read_table, written
+from .common import give_back, lean, read_table, written
 from .words import mix
 
 LENGTH, K = 50, 20
@@ -155,7 +155,7 @@ def shared_kgrams(chunks: DataFrame, bits: int) -> DataFrame:
         found = [squeeze.compress(x.tobytes()) for x in np.split(out, np.cumsum(n)[:-1])]
         return pa.table({"chunk": table["chunk"], "r": table["r"], "codes": pa.array(found, pa.binary())})
 
-    sent = chunks.select("chunk", "blob", "sizes").mapInArrow(send, "r int, chunk string, keys binary, codes binary")
+    sent = chunks.select("chunk", "blob", "sizes").mapInArrow(lean(send), "r int, chunk string, keys binary, codes binary")
     met = sent.groupBy("r").applyInArrow(meet, "chunk string, r int, codes binary")
     return met.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("r", "codes"))).alias("codes"))
 
@@ -243,7 +243,7 @@ def runs(chunks: DataFrame, bits: int) -> DataFrame:
                 give_back()
 
     schema = "r int, chunk string, n int, coded binary, ids binary"
-    return chunks.select("chunk", "ids", "blob", "sizes", "codes").mapInArrow(send, schema)
+    return chunks.select("chunk", "ids", "blob", "sizes", "codes").mapInArrow(lean(send), schema)
 
 
 class Run:
@@ -468,7 +468,7 @@ def without_repeats(docs: DataFrame, keep: list[str], id_col: str = "doc_id", te
                 del raw, kept
                 give_back()
 
-    done = some.join(covers(runs(some, bits)), "chunk", "left").select("blob", "sizes", "ids", "rest", "codes", "covers").mapInArrow(cut, schema)
+    done = some.join(covers(runs(some, bits)), "chunk", "left").select("blob", "sizes", "ids", "rest", "codes", "covers").mapInArrow(lean(cut), schema)
     return done.select(*[F.col(a).alias(b) for a, b in zip(names, keep, strict=True)], *schema.fieldNames()[len(names):])
 
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import lean, read_table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the vocabulary's authors split text before merging.
@@ -41,7 +41,7 @@ def token_lengths(docs: DataFrame, text_col: str = "text", vocabulary: str = VOC
             counts = [len(enc.encode_ordinary(t)) if t else 0 for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(counts, pa.int64())], ["n_tokens"])
 
-    return docs.select(F.col(text_col).cast("string")).mapInArrow(lengths, "n_tokens long")
+    return docs.select(F.col(text_col).cast("string")).mapInArrow(lean(lengths), "n_tokens long")
 
 
 def length_histogram(lengths: DataFrame) -> DataFrame:

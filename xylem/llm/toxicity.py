@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, read_table, remainder
+from .common import give_back, lean, read_table, remainder
 from .words import Hasher, groups, joined, lower_ascii, mix, separators, spans
 
 #: Bytes of the prefixes that make up the chain.
@@ -119,7 +119,7 @@ def class_counts(docs: DataFrame) -> DataFrame:
                         [pa.array(np.full(len(key), level, np.int32)), pa.array(key & ((1 << CELL_BITS) - 1)), pa.array(key >> CELL_BITS), pa.array(b), pa.array(n - n1), pa.array(n1)],
                         ["level", "cell", "parent", "before", "ordinary", "toxic"])
 
-    out = docs.select("__text", "__label").mapInArrow(count, "level int, cell long, parent long, before long, ordinary long, toxic long")
+    out = docs.select("__text", "__label").mapInArrow(lean(count), "level int, cell long, parent long, before long, ordinary long, toxic long")
     each = out.groupBy("level", "cell", "parent", "before").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
     return each.groupBy("level", "cell", "parent").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("contexts"))
 
@@ -213,7 +213,7 @@ def evidence_column(docs: DataFrame, text_col: str, keep: list[str], held) -> Da
         del model
         give_back()
 
-    return slim.mapInArrow(run, schema)
+    return slim.mapInArrow(lean(run), schema)
 
 
 class ToxicityModel:
