@@ -280,6 +280,68 @@ def test_lm_scores_sum_to_one_at_most(spark):
     assert len(got) == len(texts) and 0.01 < sum(10**r.score for r in got) <= 1
 
 
+def test_lm_scores_know_the_word_before(spark):
+    """Texts of the same words, in the order that was taught and in others."""
+    taught, other = "red fox runs home. blue owl flies away.", "owl red home. flies fox away. runs blue"
+    docs = spark.createDataFrame([(0, taught, False), (1, other, False)] + [(i + 2, taught, True) for i in range(30)], "doc_id long, text string, learns boolean")
+    score = {r.doc_id: r.score for r in lm_scoring.scores(docs, F.col("learns"), ["doc_id"]).collect()}
+    assert score[0] > score[1] + 1
+
+
+def lm_reading(texts):
+    words, times, tree, spelling, _ = lm_model(texts)
+    spelt, number = b"".join(w + b" " for w in words) + b"\n", {w: i for i, w in enumerate(words)}
+    split = [t.lower().split() for t in texts]
+    reading = lm_scoring.Reading(spelling, spelt, np.array([number[w] for t in split for w in t], np.uint32), np.array([len(t) for t in split]), tree, Hasher())
+    passed = reading.edge_counts(times, np.ones(len(texts), bool))
+    across = reading.pair_counts(passed)
+    codes = reading.codes(lm_scoring.own_counts(spelling, times, tree), lm_scoring.codes_of(reading.keys, across, tree))
+    return [(b"".join(w + b" " for w in t) + b"\n", t) for t in split], tree, reading, passed, across, codes
+
+
+def test_lm_contexts_across_words_are_brute_force(documents):
+    streams, _, reading, passed, across, _ = lm_reading([(r.text or "").encode() for r in documents.where("text IS NULL OR length(text) < 3000").select("text").collect()])
+    want, places = Counter(), []
+    for stream, words in streams:
+        p = 0
+        for i, w in enumerate([*words, None]):
+            for into in range(1 if w is None else len(w) + 1):
+                here = [(k, stream[max(0, p - size) : p], stream[p]) for k, size in enumerate(lm_scoring.ACROSS) if into < size]
+                here += [] if into else [(len(lm_scoring.ACROSS), words[i - 1] if i else None, stream[p])]
+                want.update(here)
+                places.append({h[0]: h for h in here})
+                p += 1
+    edges, ends = reading.stream()
+    assert ends.tolist() == np.cumsum([len(s) for s, _ in streams]).tolist()
+    assert bytes(reading.byte[edges]) == b"".join(s for s, _ in streams)
+    assert np.bincount(edges, minlength=len(passed)).tolist() == passed.tolist()
+    for k, place in enumerate(reading.places[len(lm_scoring.ORDERS) :]):
+        cell = place[edges] - len(reading.spelling.keys)
+        assert all((across[c] == want[h[k]]) if k in h else c == len(reading.keys) for c, h in zip(cell.tolist(), places, strict=True))
+
+
+def test_lm_second_layer_steps_through_a_text():
+    """Texts together cost what each costs when read bit by bit, a step of learning after every block."""
+    rng = np.random.default_rng(0)
+    texts = [b" ".join(rng.choice([b"an", b"ant", b"bee", b"be", b"crow"], n)) for n in (0, 1, 40, 200, 3)]
+    streams, tree, reading, _, _, codes = lm_reading(texts)
+    mixer = lm_scoring.Mixer(rng.uniform(0.1, 0.6, (lm_scoring.GATES, lm_scoring.PREDICTORS)))
+    logits = {(int(e), level): row for level, edges, rows in mixer.weighed(reading, codes, tree) for e, row in zip(edges, rows, strict=True)}
+    refined, plain = mixer.text_costs(reading, codes, tree)
+    edges, ends = reading.stream()
+    for t, (stream, _) in enumerate(streams):
+        own, factors, square, total, even = edges[ends[t] - len(stream) : ends[t]], np.ones(4), np.ones(4), 0.0, 0.0
+        for lo in range(0, len(own), lm_scoring.STEP):
+            rows = np.array([logits[int(e), level] for e in own[lo : lo + lm_scoring.STEP] for level in range(tree.depth[reading.byte[e]])], float)
+            z = rows @ factors
+            total, even = total + np.log1p(np.exp(-z)).sum(), even + np.log1p(np.exp(-rows.sum(1))).sum()
+            step = (rows / (1 + np.exp(z))[:, None]).sum(0)
+            square += step**2
+            factors += lm_scoring.STEP_RATE * step / np.sqrt(square)
+        assert abs(refined[t] - total) < 1e-2 + 1e-3 * total and abs(plain[t] - even) < 1e-2 + 1e-3 * even
+    assert refined[3] != plain[3]
+
+
 def test_lm_bits_of_held_out_texts(spark):
     held = [r for r in lm_scoring.op6(spark, SF).collect() if r.held_out]
     assert 2 < np.mean([r.bits_per_byte for r in held]) < 2.45

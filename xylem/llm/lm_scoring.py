@@ -2,19 +2,17 @@
 
 A text is read as its words in lower case with a space after each and an end
 mark last. Each byte is a path of binary decisions down a Huffman tree. For
-every context (the last 1, 2, 3 and 4 bytes of the word, and the whole word so
-far, all hashed) the counts of each decision in all training texts predict
-it. The predictions' logits are weighed by a set of weights that a gate picks by
-how much the highest orders have seen; their sum is the mixture's logit.
-Weights learn online from every decision of the training texts, each predicted
+every context the counts of each decision in all training texts predict it:
+the last 1, 2, 3 and 4 bytes of the word and the whole word so far; across words
+the last 3 and 5 bytes of the text, and for a word's first byte or the end the whole
+word before; all hashed. The predictions' logits are weighed by a set of weights that a gate picks by
+how much the highest orders have seen. Weights learn online from every decision of the training texts, each predicted
 without its own count: every chunk of texts takes gradient steps over its own,
-with its own counts, and the chunks' weights are averaged. Within a text they are refined along a fan of
-``FAN`` directions: the weights and variants that trust the word so far, the
-short contexts or all predictors more or less each have a share, which follows
-how well they predicted what was read. Every next token's probability is the mean by
-share, so the score is the logarithm of a true probability: over all texts it
-sums to one at most. Contexts end where the word begins, so a byte's cost depends
-on the word so far alone and is computed once per chunk and distinct prefix.
+with its own counts, and the chunks' weights are averaged. Within a text learning goes on: a second layer has a factor for
+each of four groups of predictors, and after every ``STEP`` bytes it takes a gradient step over their decisions.
+Nothing but what came before predicts, so the score, the even mean of the text's probability with the second layer
+and without, is the logarithm of a true probability: over all texts it
+sums to one at most. Where all contexts are the same, logits are computed once a chunk.
 
 The base is a unigram model with one added to every count. Words and contexts
 are counted exactly: every chunk sends its distinct (context, byte) pairs and
@@ -42,20 +40,29 @@ from .words import Hasher, mix
 
 #: Bytes of context of each predictor; the last reads the whole word so far.
 ORDERS = (1, 2, 3, 4, 0)
+#: Bytes of context of the predictors that look across words, where that is more than the word so far. One more reads the word before.
+ACROSS = (3, 5)
+LONGEST, PREDICTORS = max(ACROSS), len(ORDERS) + len(ACROSS) + 1
+#: The predictors' groups that have a factor each within a text.
+GROUP = np.array([0, 0, 1, 1, 2, 3, 3, 3])
 SPACE, END = 0x20, 0x0A
 #: Bytes of text in a chunk; a longer text has one of its own.
 CHUNK = 8 << 20
-#: Eight states of each of the two orders that gate: steps of how much they have seen, and whether both turns.
-GATES = 64
+#: Eight states of each of the two orders that gate: steps of how much they have seen, and whether both turns; and the steps of the longest that looks across.
+GATES = 256
 GATING, STEPS = (2, 4), (1, 3, 16)
 #: A pair's number: a hash of its context above three bits of its order and the byte's rank.
 LOW = 11
 #: Keeps the orders' contexts apart.
 SALT = 0x5851F42D4C957F2D
-#: Factors on the weights of the word so far and of the other contexts, one row for each member of the fan.
-FAN = ((1.0, 1.0), (1.35, 0.8), (0.7, 1.15), (1.25, 1.25), (0.8, 0.8))
+#: Bytes between two steps of learning within a text, and the length of the first; texts that take steps together.
+STEP, STEP_RATE, TOGETHER = 64, 0.05, 256
+#: What a group's logit is kept in, to 2 bytes.
+UNIT = np.float32(2.0**-10)
 #: Decisions between two steps of learning, and the length of the first steps.
 BLOCK, RATE = 1 << 15, 0.05
+#: Neighbouring edges that stay together when edges are shuffled for learning.
+RUN = 64
 #: Pairs that meet in one range of hashes.
 RANGE_PAIRS = 4_000_000
 
@@ -144,6 +151,7 @@ class Spelling:
         self.edge = np.empty(len(buf), np.int32)
         self.edge[by_depth] = latest
         into, self.byte = into[first], buf[first]
+        self.into = into
         rank = tree.rank[self.byte]
         near, done, each = np.zeros(len(first), np.uint64), 0, []
         for order, size in enumerate(ORDERS[:-1]):
@@ -161,8 +169,8 @@ class Spelling:
         each_place = np.split(place, np.cumsum([len(k) for k, _ in each])[:-1])
         self.places = [p if back is None else p[back] for p, (_, back) in zip(each_place, each, strict=True)]
 
-    def deepest_first(self, tree: Tree) -> np.ndarray:
-        return np.argsort(np.uint8(255) - tree.depth[self.byte], kind="stable")
+    def depth(self, tree: Tree) -> np.ndarray:
+        return tree.depth[self.byte]
 
     def edge_counts(self, words: np.ndarray) -> np.ndarray:
         """How often each edge is passed, from how often each word occurs; the last is the end mark."""
@@ -174,9 +182,125 @@ class Spelling:
             out += np.bincount(place, weights=passed, minlength=len(out)).astype(np.int64)
         return out
 
-    def word_costs(self, edge_costs: np.ndarray) -> np.ndarray:
-        total = np.cumsum(edge_costs[self.edge], dtype=np.float64)[self.ends]
-        return np.diff(total, prepend=0.0)
+
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each key's group, and a place of each group. Equal keys share one, but where hashes meet there may be two."""
+    low = max(1, len(keys) - 1).bit_length()
+    both = np.sort(mix(keys) >> np.uint64(low) << np.uint64(low) | np.arange(len(keys), dtype=np.uint64))
+    at = (both & np.uint64((1 << low) - 1)).astype(np.int64)
+    value = keys[at]
+    new = np.ones(len(keys), bool)
+    new[1:] = value[1:] != value[:-1]
+    back = np.empty(len(keys), np.int32)
+    back[at] = np.cumsum(new, dtype=np.int32) - 1
+    return back, at[new]
+
+
+class Reading:
+    """A chunk's texts read across words: edges are all that contexts and byte tell apart.
+
+    The trie's edges come first, of which those ``LONGEST`` or more bytes into a word are passed; nearer its begin
+    every place has an edge by the bytes before it, and the first byte of a word by the whole word before.
+    """
+
+    def __init__(self, spelling: Spelling, spelt: bytes, token: np.ndarray, size: np.ndarray, tree: Tree, hasher: Hasher, width: int = 64 - LOW) -> None:
+        buf = np.frombuffer(spelt, np.uint8)
+        begins = np.concatenate(([0], spelling.ends[:-1] + 1))
+        length, mark = np.diff(spelling.ends, prepend=-1), len(begins) - 1
+        self.spelling, self.last = spelling, np.cumsum(size + 1) - 1  # end marks
+        self.token = np.full(len(token) + len(size), mark, np.int64)
+        real = np.ones(len(self.token), bool)
+        real[self.last] = False
+        self.token[real] = token
+        heads = self.last - size
+        mask = np.uint64((1 << 8 * LONGEST) - 1)
+        long = np.minimum(length, LONGEST).astype(np.uint8)[self.token]
+        own, shift = np.zeros(len(begins), np.uint64), long.astype(np.uint64) * np.uint64(8)
+        for i in range(LONGEST):
+            own |= np.where(length > i, buf[np.maximum(spelling.ends - i, 0)], 0).astype(np.uint64) << np.uint64(8 * i)
+
+        def before(x: np.ndarray) -> np.ndarray:
+            x = np.concatenate((x[:1], x[:-1]))
+            x[heads] = 0
+            return x
+
+        read = own = own[self.token]
+        for _ in range(LONGEST // 2):  # a word and its space are two bytes at least
+            read = own | (before(read) << shift & mask)
+        read = before(read)
+        word = before(word_keys(spelt, hasher)[self.token])
+        prefix, self.near, n = np.zeros(len(begins), np.uint64), [], len(spelling.byte)
+        byte, trie, each = [spelling.byte], [np.arange(n)], [[] for _ in range(PREDICTORS - len(ORDERS))]
+        for i in range(LONGEST):
+            letter = buf[np.minimum(begins + i, len(buf) - 1)]
+            prefix = prefix << np.uint64(8) | letter
+            at = np.flatnonzero(long > i) if i else np.arange(len(self.token))
+            key = (read[at] << np.uint64(8 * i + 8) | prefix[self.token[at]]) & np.uint64((1 << 8 * LONGEST + 8) - 1)
+            back, one = grouped(key if i else mix(word) ^ key)
+            self.near.append((at.astype(np.int32) if len(self.token) < 1 << 31 else at, back + np.int32(n)))
+            key, one = key[one], at[one]
+            byte.append((key & np.uint64(0xFF)).astype(np.uint8))
+            trie.append(spelling.edge[begins[self.token[one]] + i])
+            rank = tree.rank[byte[-1]]
+            for k, bytes_ in enumerate(ACROSS):
+                if i < bytes_:
+                    each[k].append((n, numbered(key >> np.uint64(8) & np.uint64((1 << 8 * bytes_) - 1), len(ORDERS) + k, rank, width)))
+            if not i:
+                each[-1].append((n, numbered(word[one], PREDICTORS - 1, rank, width)))
+            n += len(key)
+        self.byte, self.trie = np.concatenate(byte), np.concatenate(trie)
+        keys = np.concatenate([x for k in each for _, x in k])
+        order = np.argsort(keys)
+        keys, place = keys[order], np.empty(len(keys), np.int32)
+        new = np.append(True, keys[1:] != keys[:-1])
+        self.keys, place[order] = keys[new], np.cumsum(new, dtype=np.int32) - 1
+        # where a predictor has no context of its own, the cell behind all pairs' counts
+        self.places, done = [p[self.trie] for p in spelling.places], 0
+        for parts in each:
+            out = np.full(n, len(self.keys), np.int32)
+            for lo, x in parts:
+                out[lo : lo + len(x)] = place[done : done + len(x)]
+                done += len(x)
+            self.places.append(out + np.int32(len(spelling.keys)))
+
+    def depth(self, tree: Tree) -> np.ndarray:
+        out = tree.depth[self.byte]
+        out[: len(self.spelling.byte)][self.spelling.into < LONGEST] = 0
+        return out
+
+    def edge_counts(self, words: np.ndarray, teach: np.ndarray) -> np.ndarray:
+        """How often texts that teach pass each edge; ``words``: how often each word occurs in them."""
+        out, teach = np.zeros(len(self.byte), np.int64), np.repeat(teach, np.diff(self.last, prepend=-1))
+        deep = self.spelling.into >= LONGEST
+        out[: len(deep)][deep] = self.spelling.edge_counts(words)[deep]
+        for at, edge in self.near:
+            out += np.bincount(edge[teach[at]], minlength=len(out))
+        return out
+
+    def pair_counts(self, passed: np.ndarray) -> np.ndarray:
+        """How often each pair that looks across occurs."""
+        out = np.zeros(len(self.keys) + 1, np.int64)
+        for place in self.places[len(ORDERS) :]:
+            out += np.bincount(place - len(self.spelling.keys), weights=passed, minlength=len(out)).astype(np.int64)
+        return out[:-1]
+
+    def codes(self, within: list[np.ndarray], across: list[np.ndarray]) -> list[np.ndarray]:
+        """Level by level the codes of the spelling's pairs, of those that look across, and of no pair."""
+        none = [np.zeros(n, np.uint16) for n in (len(self.spelling.keys), len(self.keys), 1)]
+        return [np.concatenate([(x[level] if level < len(x) else n) for x, n in zip((within, across), none, strict=False)] + none[2:]) for level in range(max(len(within), len(across)))]
+
+    def stream(self) -> tuple[np.ndarray, np.ndarray]:
+        """The edges passed by all texts, and where each text ends."""
+        begins, length = np.concatenate(([0], self.spelling.ends[:-1] + 1)), np.diff(self.spelling.ends, prepend=-1)
+        ends = np.cumsum(length[self.token])
+        out = np.empty(ends[-1] if len(ends) else 0, np.int32)
+        for lo in range(0, len(ends), BLOCK):
+            t, e = self.token[lo : lo + BLOCK], ends[lo : lo + BLOCK]
+            n = length[t]
+            out[e[0] - n[0] : e[-1]] = self.spelling.edge[np.arange(e[0] - n[0], e[-1]) + np.repeat(begins[t] - (e - n), n)]
+        for i, (at, edge) in enumerate(self.near):
+            out[(ends[at] - length[self.token[at]]) + i] = edge
+        return out, ends[self.last]
 
 
 _FEW = np.arange(1 << 12)
@@ -240,7 +364,7 @@ class Mixer:
     """Weights, by gate and predictor."""
 
     def __init__(self, weights: np.ndarray | None = None) -> None:
-        self.weights = np.full((GATES, len(ORDERS)), 0.3, np.float32) if weights is None else weights.astype(np.float32)
+        self.weights = np.full((GATES, PREDICTORS), 0.3, np.float32) if weights is None else weights.astype(np.float32)
 
     @staticmethod
     def inputs(places: list[np.ndarray], codes: np.ndarray, part: slice | np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
@@ -251,6 +375,8 @@ class Mixer:
             x.append(table[0][code])
             if k in GATING:
                 gate = gate * np.uint8(8) + table[1][code]
+            if k == PREDICTORS - 2:
+                gate = gate + np.uint8(64) * (table[1][code] >> np.uint8(1))
         return x, gate
 
     @staticmethod
@@ -261,20 +387,21 @@ class Mixer:
             for lo in range(0, n, BLOCK):
                 yield level, slice(lo, min(lo + BLOCK, n))
 
-    def learn(self, spelling: Spelling, codes: list[np.ndarray], passed: np.ndarray, tree: Tree) -> np.ndarray:
+    def learn(self, spelling: Spelling | Reading, codes: list[np.ndarray], passed: np.ndarray, tree: Tree) -> np.ndarray:
         """Online steps over all decisions of the edges passed; returns how much each gate met."""
         met, square = np.zeros(GATES), np.full(self.weights.shape, 1e-3)
         order = np.flatnonzero(passed)
-        order = order[np.random.default_rng(1).permutation(len(order))]  # blocks alike
+        runs = np.random.default_rng(1).permutation(-(-len(order) // RUN))[:, None] * RUN + np.arange(RUN)
+        order = order[runs[runs < len(order)]]  # blocks alike
         depth, w = tree.depth[spelling.byte[order]], self.weights.astype(np.float64)
         blocks = ((level, at[lo : lo + BLOCK]) for level in range(int(depth.max(initial=0))) for at in [order[depth > level]] for lo in range(0, len(at), BLOCK))
         for level, part in blocks:
             x, gate = self.inputs(spelling.places, codes[level], part, _LESS)
-            n = passed[part].astype(np.float32)
-            z = sum(w[:, k].astype(np.float32)[gate] * row for k, row in enumerate(x))
-            err = n / (1 + np.exp(np.clip(z, -30, 30)))  # all logits are of the turn taken
-            mass = np.bincount(gate, weights=n, minlength=GATES)
-            step = np.stack([np.bincount(gate, weights=err * row, minlength=GATES) for row in x], 1) / np.maximum(mass, 1)[:, None]
+            n, cell = passed[part].astype(np.float32), gate.astype(np.intp)
+            z = sum(row * v[cell] for v, row in zip(w.T.astype(np.float32, order="C"), x, strict=False))
+            err = n * cost(z)[1]  # all logits are of the turn taken
+            mass = np.bincount(cell, weights=n, minlength=GATES)
+            step = np.stack([np.bincount(cell, weights=err * row, minlength=GATES) for row in x], 1) / np.maximum(mass, 1)[:, None]
             share = (mass / mass.sum())[:, None]
             square += share * step * step
             w += RATE * np.sqrt(share / square) * step
@@ -282,21 +409,72 @@ class Mixer:
         self.weights = w.astype(np.float32)
         return met
 
-    def costs(self, spelling: Spelling, codes: list[np.ndarray], tree: Tree) -> np.ndarray:
-        """(fan, edge): minus the natural logarithm of each edge's probability."""
-        order = spelling.deepest_first(tree)
+    def weighed(self, spelling: Spelling | Reading, codes: list[np.ndarray], tree: Tree) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Level by level edges that decide there, and their groups' weighed logits (edge, group), of the turn taken."""
+        depth = spelling.depth(tree)
+        order = np.argsort(np.uint8(255) - depth, kind="stable")
         places = [p[order] for p in spelling.places]
-        out = np.zeros((len(FAN), len(order)), np.float32)
         weights = self.weights.T.copy()
-        for level, part in self.parts(tree.depth[spelling.byte[order]]):
+        for level, part in self.parts(depth[order]):
             x, gate = self.inputs(places, codes[level], part, _WHOLE)
-            rows = [w[gate] * row for w, row in zip(weights, x, strict=True)]
-            short = sum(rows[:-1])
-            for row, (a, b) in zip(out, FAN, strict=True):
-                row[part] += np.log(1 + np.exp(np.clip(np.float32(-a) * rows[-1] - np.float32(b) * short, -30, 30)))
-        back = np.empty_like(out)
-        back[:, order] = out
-        return back
+            rows = np.zeros((len(gate), GROUP[-1] + 1), np.float32)
+            for w, row, group in zip(weights, x, GROUP, strict=False):
+                rows[:, group] += w[gate] * row
+            yield level, order[part], rows
+
+    def costs(self, spelling: Spelling | Reading, codes: list[np.ndarray], tree: Tree) -> np.ndarray:
+        """(1, edge): minus the natural logarithm of each edge's probability, before a text's own learning."""
+        out = np.zeros((1, len(spelling.byte)), np.float32)
+        for _, edges, rows in self.weighed(spelling, codes, tree):
+            out[0, edges] += cost(rows.sum(1))[0]
+        return out
+
+    def text_costs(self, reading: Reading, codes: list[np.ndarray], tree: Tree) -> tuple[np.ndarray, np.ndarray]:
+        """Minus the natural logarithm of each text's probability, with the second layer and without."""
+        depth = reading.depth(tree)
+        first = np.concatenate(([0], np.cumsum(depth, dtype=np.int64)))
+        first = first.astype(np.int32) if first[-1] < 1 << 31 else first
+        logits, plain = np.empty(first[-1], np.uint64), np.zeros(len(depth), np.float32)  # four shorts a decision
+        for level, edges, rows in self.weighed(reading, codes, tree):
+            logits[first[edges] + level] = np.rint(np.clip(rows, -31, 31) / UNIT).astype(np.int16).view(np.uint64).ravel()
+            plain[edges] += cost(rows.sum(1))[0]
+        edges, ends = reading.stream()
+        size = np.diff(ends, prepend=0)
+        longest_first = np.argsort(-size, kind="stable")
+        out = np.zeros(len(size))
+        for lo in range(0, len(size), TOGETHER):
+            texts = longest_first[lo : lo + TOGETHER]
+            out[texts] = self.refined(edges, ends[texts] - size[texts], size[texts], first, depth, logits)
+        return out, np.add.reduceat(plain[edges], ends - size, dtype=np.float64)
+
+    @staticmethod
+    def refined(edges: np.ndarray, begin: np.ndarray, size: np.ndarray, first: np.ndarray, depth: np.ndarray, logits: np.ndarray) -> np.ndarray:
+        """Texts, the longest first, take their steps together: costs with the factors learnt so far."""
+        factors, square, out = np.ones((GROUP[-1] + 1, len(size)), np.float32), np.ones((GROUP[-1] + 1, len(size)), np.float32), np.zeros(len(size))
+        for lo in range(0, int(size[0]), STEP):
+            m = int(np.searchsorted(-size, -lo))
+            n = np.minimum(size[:m] - lo, STEP)
+            end = np.cumsum(n)
+            passed = edges[np.arange(end[-1]) + np.repeat(begin[:m] + lo - (end - n), n)]
+            deep = depth[passed]
+            to = np.cumsum(deep, dtype=first.dtype)
+            x = logits[np.arange(to[-1], dtype=first.dtype) + np.repeat(first[passed] - (to - deep), deep)].view(np.int16).reshape(-1, len(factors))
+            x = [x[:, k].astype(np.float32) for k in range(len(factors))]
+            of_text = to[end - 1]
+            cut, many = np.concatenate(([0], of_text[:-1])), np.diff(of_text, prepend=0)
+            much, err = cost(sum(np.repeat(f[:m] * UNIT, many) * row for f, row in zip(factors, x, strict=True)))
+            out[:m] += np.add.reduceat(much, cut, dtype=np.float64)
+            step = np.stack([np.add.reduceat(err * row, cut) for row in x]) * UNIT
+            square[:, :m] += step * step
+            factors[:, :m] += STEP_RATE * step / np.sqrt(square[:, :m])
+        return out
+
+
+def cost(logit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Minus the natural logarithm of a turn's probability, and the other turn's probability."""
+    odds = np.exp(np.clip(-logit, -30, 30))
+    whole = 1 + odds
+    return np.log(whole), odds / whole
 
 
 def squeezed(x: np.ndarray, tool: zstandard.ZstdCompressor) -> bytes:
@@ -319,16 +497,16 @@ def opened_keys(raw: bytes, tool: zstandard.ZstdDecompressor) -> np.ndarray:
 
 
 def vocabularies(docs: DataFrame, keep: list[str], learns, text_col: str) -> DataFrame:
-    """Chunks of documents as words: (chunk, spelt, times, frequency, tokens, sizes, rest).
+    """Chunks of documents as words: (chunk, spelt, times, frequency, tokens, sizes, teach, rest).
 
     ``spelt`` are the distinct words in order, ``times`` how often each, and
     then the end mark, occurs in texts that teach; ``tokens`` the words of all texts by number, ``sizes`` how
-    many each text has. ``frequency`` counts the bytes of what teaches.
+    many each text has, ``teach`` whether it teaches. ``frequency`` counts the bytes of what teaches.
     """
     names = [f"k{i}" for i in range(len(keep))]
     d = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], F.coalesce(learns, F.lit(False)).alias("learns"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rest = d.select(*names).schema
-    schema = T.StructType([*T._parse_datatype_string("chunk string, spelt binary, times binary, frequency array<long>, tokens binary, sizes binary").fields, T.StructField("rest", T.ArrayType(rest))])
+    schema = T.StructType([*T._parse_datatype_string("chunk string, spelt binary, times binary, frequency array<long>, tokens binary, sizes binary, teach binary").fields, T.StructField("rest", T.ArrayType(rest))])
 
     def row(texts: list[pa.Array], teach: list[pa.Array], kept: list[pa.Array], tool: zstandard.ZstdCompressor) -> pa.RecordBatch:
         words = pc.ascii_split_whitespace(pc.ascii_lower(pa.concat_arrays(texts)))  # lower-cases A-Z, parts at ASCII white space
@@ -347,7 +525,7 @@ def vocabularies(docs: DataFrame, keep: list[str], learns, text_col: str) -> Dat
         frequency = np.bincount(buf, weights=np.repeat(times, np.diff(close, prepend=-1)), minlength=256).astype(np.int64)
         struct_ = pa.concat_arrays(kept)
         lists = pa.ListArray.from_arrays(pa.array([0, len(struct_)], pa.int32()), struct_)
-        blobs, last = (tool.compress(spelt), squeezed(times, tool)), (squeezed(token, tool), n.astype(np.int64).tobytes())
+        blobs, last = (tool.compress(spelt), squeezed(times, tool)), (squeezed(token, tool), n.astype(np.int64).tobytes(), np.packbits(teach).tobytes())
         return pa.RecordBatch.from_arrays(
             [pa.array([uuid.uuid4().hex]), *(pa.array([b], pa.binary()) for b in blobs), pa.array([frequency], pa.list_(pa.int64())), *(pa.array([b], pa.binary()) for b in last), lists], schema.fieldNames())
 
@@ -389,34 +567,36 @@ def word_keys(spelt: bytes, hasher: Hasher) -> np.ndarray:
 
 
 def totals(chunks: DataFrame, tree: Tree, bits: int, width: int) -> DataFrame:
-    """(chunk, found, words, tokens) from what all chunks sent to one range of hashes.
+    """(chunk, found, words, tokens) from what all chunks sent to one range of hashes, which also sums a slice of what they learnt.
 
-    ``found``: the totals of the chunk's own words there; for its own pairs how often the
-    context was met, and level by level how often the turn that isn't theirs was taken. Under an empty chunk's name the range's
+    ``found``: the totals of the chunk's own words there; for its own pairs, within words and across, level by level
+    the codes of how often their turn was taken and the other. Under an empty chunk's name the range's
     distinct words and its tokens.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, opener, hasher = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor(), Hasher()
         for batch in batches:
-            for chunk, spelt, times in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for chunk, spelt, times, *read in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 spelt, times = opener.decompress(spelt), opened(times, np.uint64, opener)
-                spelling = Spelling(spelt, tree, hasher, width)
-                keys, n = spelling.keys, spelling.pair_counts(times).astype(np.uint64)
-                del spelling
+                reading, teach = reading_of(spelt, *read, tree, hasher, width, opener)
+                passed = reading.edge_counts(times, teach)
+                pairs = reading.keys, reading.pair_counts(passed)
+                learnt = np.array_split(learned(reading, times, passed, pairs, tree).ravel(), 1 << bits)
+                sets = (reading.spelling.keys, reading.spelling.pair_counts(times).astype(np.uint64)), (pairs[0], pairs[1].astype(np.uint64))
+                del reading, passed, pairs
                 words = word_keys(spelt, hasher)
                 order = np.argsort(words)
                 words, times = words[order], times[order]
-                own = {r: (a, b) for r, a, b in by_range(words, bits)}
-                pairs = {r: (a, b) for r, a, b in by_range(keys, bits)}
+                sets = [(keys, n, {r: (a, b) for r, a, b in by_range(keys, bits)}) for keys, n in ((words, times), *sets)]
                 rows = []
-                for r in sorted(own.keys() | pairs.keys()):
-                    (a, b), (c, d) = own.get(r, (0, 0)), pairs.get(r, (0, 0))
-                    rows.append((r, squeezed_keys(keys[c:d], tool), squeezed(n[c:d], tool), squeezed_keys(words[a:b], tool), squeezed(times[a:b], tool)))
+                for r in range(1 << bits):
+                    cuts = [(keys, n, slice(*at.get(r, (0, 0)))) for keys, n, at in sets]
+                    rows.append((r, *(x for keys, n, c in cuts for x in (squeezed_keys(keys[c], tool), squeezed(n[c], tool))), learnt[r].tobytes()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([x[0] for x in rows], pa.int32()), pa.array([chunk] * len(rows), pa.string()), *(pa.array([x[i] for x in rows], pa.binary()) for i in range(1, 5))],
-                    ["r", "chunk", "keys", "counts", "words", "times"])
-                del keys, n, words, times, rows
+                    [pa.array([x[0] for x in rows], pa.int32()), pa.array([chunk] * len(rows), pa.string()), *(pa.array([x[i] for x in rows], pa.binary()) for i in range(1, 8))],
+                    ["r", "chunk", "words", "times", "keys", "counts", "across", "passed", "learnt"])
+                del sets, words, times, rows
                 give_back()
 
     def summed(keys: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -428,48 +608,80 @@ def totals(chunks: DataFrame, tree: Tree, bits: int, width: int) -> DataFrame:
         opener, tool = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
         column = lambda c, f, *a: [f(x, *a, opener) for x in table[c].to_pylist()]
         _, times, own = summed(column("words", opened_keys), column("times", opened, np.uint64))
-        key, total, places = summed(column("keys", opened_keys), column("counts", opened, np.uint64))
-        deepest = int(tree.depth_of(key).max(initial=0))
-        levels = [total.copy(), *(np.zeros(len(key), np.int64) for _ in range(deepest))]
-        for level, (at, mine, other) in enumerate(node_counts(key, total, tree)):
-            levels[level + 1][at] = other
-            if not level:
-                levels[0][at] = mine + other  # of the context
-        deep = tree.depth_of(key)
-        found = []
-        for at, word in zip(places, own, strict=True):
-            held = np.concatenate([n[at[deep[at] >= level]] for level, n in enumerate(levels)])
-            size = np.min_scalar_type(held.max(initial=0))
-            found.append((squeezed(times[word].astype(np.uint64), tool), size.itemsize.to_bytes() + squeezed(held.astype(size), tool)))
+        found = [[squeezed(times[word].astype(np.uint64), tool) for word in own]]
+        for keys, counts in (("keys", "counts"), ("across", "passed")):
+            key, total, places = summed(column(keys, opened_keys), column(counts, opened, np.uint64))
+            levels = codes_of(key, total, tree)
+            found.append([])
+            for at in places:
+                found[-1].append(packed_codes([level[at] for level in levels], key[at], tree, tool))
+            del levels, places, key, total
+        learnt = np.sum([np.frombuffer(x, np.float64) for x in table["learnt"].to_pylist()], axis=0).tobytes()
+        found.append([learnt] * len(own))
         r = table["r"][0].as_py()
         out = pa.table({
-            "chunk": pa.array([*table["chunk"].to_pylist(), ""]), "r": pa.array([r] * (len(found) + 1), pa.int32()), "times": pa.array([x[0] for x in found] + [None], pa.binary()), "codes": pa.array([x[1] for x in found] + [None], pa.binary()),
-            "words": pa.array([None] * len(found) + [int((times > 0).sum())], pa.int64()), "tokens": pa.array([None] * len(found) + [int(times.sum())], pa.int64())})
-        del levels, places, own, found, key, total
+            "chunk": pa.array([*table["chunk"].to_pylist(), ""]), "r": pa.array([r] * (len(own) + 1), pa.int32()), **{k: pa.array([*x, None], pa.binary()) for k, x in zip(("times", "codes", "across", "learnt"), found, strict=True)},
+            "words": pa.array([None] * len(own) + [int((times > 0).sum())], pa.int64()), "tokens": pa.array([None] * len(own) + [int(times.sum())], pa.int64())})
+        del own, found
         give_back()
         return out
 
-    sent = chunks.select("chunk", "spelt", "times").mapInArrow(lean(send), "r int, chunk string, keys binary, counts binary, words binary, times binary")
-    met = sent.groupBy("r").applyInArrow(meet, "chunk string, r int, times binary, codes binary, words long, tokens long")
-    return met.groupBy("chunk").agg(F.collect_list(F.struct("r", "times", "codes")).alias("found"), F.sum("words").alias("words"), F.sum("tokens").alias("n"))
+    sent = chunks.select("chunk", "spelt", "times", "tokens", "sizes", "teach").mapInArrow(lean(send), "r int, chunk string, words binary, times binary, keys binary, counts binary, across binary, passed binary, learnt binary")
+    met = sent.groupBy("r").applyInArrow(meet, "chunk string, r int, times binary, codes binary, across binary, learnt binary, words long, tokens long")
+    return met.groupBy("chunk").agg(F.collect_list(F.struct("r", "times", "codes", "across", "learnt")).alias("found"), F.sum("words").alias("words"), F.sum("tokens").alias("n"))
+
 
+def reading_of(spelt: bytes, tokens: bytes, sizes: bytes, teach: bytes, tree: Tree, hasher: Hasher, width: int, tool: zstandard.ZstdDecompressor) -> tuple[Reading, np.ndarray]:
+    size = np.frombuffer(sizes, np.int64)
+    reading = Reading(Spelling(spelt, tree, hasher, width), spelt, opened(tokens, np.uint32, tool), size, tree, hasher, width)
+    return reading, np.unpackbits(np.frombuffer(teach, np.uint8), count=len(size)).astype(bool)
 
-def read_codes(keys: np.ndarray, found: list[dict], bits: int, tree: Tree, tool: zstandard.ZstdDecompressor) -> list[np.ndarray]:
+
+def read_codes(keys: np.ndarray, found: list[dict], bits: int, tree: Tree, tool: zstandard.ZstdDecompressor, kind: str = "codes") -> list[np.ndarray]:
     """Level by level the codes (own turn's above the other's) at the nodes of a chunk's pairs."""
-    depth = tree.depth_of(keys)
-    out = [np.zeros(len(keys), np.uint16) for _ in range(int(depth.max(initial=0)))]
-    of = {f["r"]: f["codes"] for f in found}
+    out = [np.zeros(len(keys), np.uint16) for _ in range(int(tree.depth_of(keys).max(initial=0)))]
+    of = {f["r"]: f[kind] for f in found}
     for r, a, b in by_range(keys, bits):
-        held = opened(of[r][1:], f"u{of[r][0]}", tool).astype(np.int64)
-        own, at = held[: b - a], b - a
-        for level, codes in enumerate(out):
-            i = np.flatnonzero(depth[a:b] > level)
-            other, at = held[at : at + len(i)], at + len(i)
-            own[i] -= other
-            codes[a + i] = both(own[i], other)
+        for codes, part in zip(out, unpacked_codes(of[r], keys[a:b], tree, tool), strict=False):
+            codes[a:b] = part
     return out
 
 
+def nodes(keys: np.ndarray, tree: Tree) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Level by level which pairs (ascending) decide there, the first of them under the same node, and whether they take its turn."""
+    context, byte = keys >> np.uint64(8), tree.byte[(keys & np.uint64(0xFF)).astype(np.uint8)]
+    for level in range(int(tree.depth[byte].max(initial=0))):
+        at = np.flatnonzero(tree.depth[byte] > level)  # bytes under a node follow each other
+        node, turn = tree.node[level, byte[at]], tree.turn[level, byte[at]]
+        new = np.append(True, (context[at[1:]] != context[at[:-1]]) | (node[1:] != node[:-1]))
+        first = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
+        yield at, at[first], turn == turn[first]
+
+
+def packed_codes(levels: list[np.ndarray], keys: np.ndarray, tree: Tree, tool: zstandard.ZstdCompressor) -> bytes:
+    """Level by level the codes once a node: the other turn's where the level above leaves any, the own where it doesn't follow; each kind compressed apart."""
+    out, above = [], np.full(len(keys), 255, np.uint8)
+    for (at, first, _), codes in zip(nodes(keys, tree), levels, strict=False):
+        own, other, sent = (codes >> np.uint16(8)).astype(np.uint8), (codes & np.uint16(0xFF)).astype(np.uint8), at[at == first]
+        out += [tool.compress(other[sent[above[sent] > 0]].tobytes()), tool.compress(own[sent[above[sent] > 31]].tobytes())]
+        above = own
+    return np.array([len(x) for x in out], np.uint32).tobytes() + b"".join(out)
+
+
+def unpacked_codes(raw: bytes, keys: np.ndarray, tree: Tree, tool: zstandard.ZstdDecompressor) -> Iterator[np.ndarray]:
+    above, deepest = np.full(len(keys), 255, np.uint8), int(tree.depth_of(keys).max(initial=0))
+    cut = 8 * deepest + np.concatenate(([0], np.cumsum(np.frombuffer(raw[: 8 * deepest], np.uint32), dtype=np.int64)))
+    parts = (np.frombuffer(tool.decompress(raw[a:b]), np.uint8) for a, b in zip(cut, cut[1:], strict=False))
+    for at, first, same in nodes(keys, tree):
+        own, other, sent = np.zeros(len(keys), np.uint8), np.zeros(len(keys), np.uint8), at[at == first]
+        other[sent[above[sent] > 0]] = next(parts)
+        own[sent] = above[sent] - other[sent]  # counts below 32 are their own codes, and 32 may be 33
+        own[sent[above[sent] > 31]] = next(parts)
+        own[at], other[at] = np.where(same, own[first], other[first]), np.where(same, other[first], own[first])
+        yield own.astype(np.uint16) << np.uint16(8) | other
+        above = own
+
+
 def read_times(words: np.ndarray, found: list[dict], bits: int, tool: zstandard.ZstdDecompressor) -> np.ndarray:
     order = np.argsort(words)
     out, of = np.zeros(len(words), np.int64), {f["r"]: f["times"] for f in found}
@@ -491,28 +703,20 @@ def codes_of(keys: np.ndarray, totals: np.ndarray, tree: Tree) -> list[np.ndarra
     return out
 
 
-def learned(chunks: DataFrame, tree: Tree, width: int) -> np.ndarray:
-    """Weights: the mean of what every chunk learns online from its own counts, by how many decisions each gate met there."""
+def learned(reading: Reading, times: np.ndarray, passed: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], tree: Tree) -> np.ndarray:
+    """What a chunk learns online from its own counts: weights times how many decisions their gate met, and that number, by gate."""
+    mixer = Mixer()
+    met = mixer.learn(reading, reading.codes(own_counts(reading.spelling, times, tree), codes_of(*pairs, tree)), passed, tree)
+    return np.column_stack([mixer.weights * met[:, None], met])
 
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        opener, hasher = zstandard.ZstdDecompressor(), Hasher()
-        for batch in batches:
-            for spelt, times in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                spelling, times = Spelling(opener.decompress(spelt), tree, hasher, width), opened(times, np.uint64, opener)
-                mixer = Mixer()
-                met = mixer.learn(spelling, own_counts(spelling, times, tree), spelling.edge_counts(times), tree)
-                cells = np.column_stack([mixer.weights * met[:, None], met])
-                yield pa.RecordBatch.from_arrays([pa.array([cells.ravel().tolist()], pa.list_(pa.float64()))], ["cells"])
-                del spelling
-                give_back()
 
-    out = Mixer().weights.astype(np.float64)
-    rows = chunks.select("spelt", "times").mapInArrow(lean(learn), "cells array<double>").select(F.posexplode("cells")).groupBy("pos").agg(F.sum("col").alias("sum")).collect()  # as many as weights
-    if rows:
-        cells = np.array([r["sum"] for r in sorted(rows)]).reshape(GATES, -1)
-        taught = cells[:, -1] > 0
-        out[taught] = cells[taught, :-1] / cells[taught, -1:]
-    return out.astype(np.float32)
+def mean_weights(found: list[dict], bits: int) -> np.ndarray:
+    """Weights: the mean of what every chunk learnt, by how many decisions each gate met there."""
+    out = Mixer().weights
+    cells = np.concatenate([np.frombuffer(f["learnt"], np.float64) for f in sorted(found, key=lambda f: f["r"])]).reshape(GATES, -1)
+    taught = cells[:, -1] > 0
+    out[taught] = cells[taught, :-1] / cells[taught, -1:]
+    return out
 
 
 def scores(docs: DataFrame, learns, keep: list[str], text_col: str = "text") -> DataFrame:
@@ -528,43 +732,42 @@ def scores(docs: DataFrame, learns, keep: list[str], text_col: str = "text") ->
     rows = chunks.select(F.posexplode("frequency")).groupBy("pos").agg(F.sum("col").alias("sum")).collect()  # 256
     tree = Tree(np.array([r["sum"] for r in sorted(rows)]) if rows else np.zeros(256, np.int64))
     bits, width = ranges(chunks)
-    weights = learned(chunks, tree, width)
     names = [f"k{i}" for i in range(len(keep))]
     rest = chunks.schema["rest"].dataType.elementType
     pa_rest = to_arrow_schema(rest)
     schema = T.StructType([*rest.fields, *T._parse_datatype_string("n_tokens long, n_known long, counts double, score double, bits_per_byte double, words long, tokens long").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        opener, hasher, mixer = zstandard.ZstdDecompressor(), Hasher(), Mixer(weights)
+        opener, hasher = zstandard.ZstdDecompressor(), Hasher()
         for batch in batches:
-            for i, (spelt, found, tokens, sizes, words, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 2, 3, 5, 6)), strict=True)):
+            for i, (spelt, found, tokens, sizes, teach, words, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 2, 3, 4, 6, 7)), strict=True)):
                 if spelt is None:  # not a chunk, but the totals of all
                     yield pa.RecordBatch.from_arrays([*(pa.nulls(1, f.type) for f in pa_rest), *(pa.nulls(1, pa.int64() if j in (0, 1) else pa.float64()) for j in range(5)), pa.array([words]), pa.array([n])], schema.fieldNames())
                     continue
                 spelt = opener.decompress(spelt)
-                spelling = Spelling(spelt, tree, hasher, width)
-                edges = mixer.costs(spelling, read_codes(spelling.keys, found, bits, tree, opener), tree)
-                cost = np.stack([spelling.word_costs(e) for e in edges])
-                length = np.diff(spelling.ends, prepend=-1)
-                del spelling, edges
+                reading, _ = reading_of(spelt, tokens, sizes, teach, tree, hasher, width, opener)
+                within, across = (read_codes(x.keys, found, bits, tree, opener, kind) for x, kind in ((reading.spelling, "codes"), (reading, "across")))
+                codes = reading.codes(within, across)
+                del within, across
+                logs = -np.stack(Mixer(mean_weights(found, bits)).text_costs(reading, codes, tree))
+                length = np.diff(reading.spelling.ends, prepend=-1)
+                del reading, codes
                 c = read_times(word_keys(spelt, hasher), found, bits, opener)
                 token, size = opened(tokens, np.uint32, opener), np.frombuffer(sizes, np.int64)
                 m = len(size)
                 doc = np.repeat(np.arange(m), size)
                 of_text = lambda x: np.bincount(doc, weights=x[token], minlength=m) + x[-1]
-                logs = -np.stack([of_text(x) for x in cost])
-                # shares start even and follow each token's probability: their products over all tokens, summed
                 most = logs.max(0)
                 log = most + np.log(np.exp(logs - most).mean(0))
                 base, seen = of_text(np.log10(c + 1.0)), of_text((c > 0).astype(float)).astype(np.int64)
                 per_byte = -log / np.log(2) / of_text(length.astype(float))
-                fields = batch.column(4)[i].values
+                fields = batch.column(5)[i].values
                 yield pa.RecordBatch.from_arrays([*(fields.field(j) for j in range(len(names))), pa.array(size + 1), pa.array(seen), pa.array(base), pa.array(log / np.log(10)), pa.array(per_byte), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], schema.fieldNames())
-                del cost, token, doc, logs, c
+                del token, doc, logs, c
                 give_back()
 
     known = totals(chunks, tree, bits, width).join(chunks, "chunk", "left")
-    done = written(known.select("spelt", "found", "tokens", "sizes", "rest", "words", "n").mapInArrow(lean(run), schema), "lm-scores")
+    done = written(known.select("spelt", "found", "tokens", "sizes", "teach", "rest", "words", "n").mapInArrow(lean(run), schema), "lm-scores")
     v, n = done.where("words IS NOT NULL").agg(F.sum("words"), F.sum("tokens")).first()
     v, n = v or 0, n or 0
     base = (F.col("counts") - F.col("n_tokens") * F.lit(float(np.log10(n + v + 1)))).alias("base_score")
@@ -573,7 +776,7 @@ def scores(docs: DataFrame, learns, keep: list[str], text_col: str = "text") ->
 
 def ranges(chunks: DataFrame) -> tuple[int, int]:
     """Bits that name a range of hashes, so that one holds about ``RANGE_PAIRS`` pairs whatever the input, and of a context's hash, 12 more than tell all pairs apart."""
-    pairs = 3 * (chunks.agg(F.sum(F.octet_length("spelt"))).first()[0] or 0)  # a compressed byte stands for about three
+    pairs = chunks.agg(F.sum(3 * F.octet_length("spelt") + F.octet_length("tokens"))).first()[0] or 0  # a compressed byte stands for about three within words, or one across at most
     bits = max(4, int(np.ceil(np.log2(max(1, pairs / RANGE_PAIRS)))))
     return bits, min(64 - LOW, max(24, int(pairs).bit_length() + 12))
 
