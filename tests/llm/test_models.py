@@ -363,3 +363,41 @@ def test_lm_words_are_split_at_ascii_white_space(spark):
 def test_lm_codes_keep_counts(n):
     back = lm_scoring._COUNT[lm_scoring.coded(n)]
     assert (back[n <= 32] == n[n <= 32]).all() and (abs(back - n) <= 0.05 * n).all()
+
+
+def test_pairs_and_codes_travel_small_and_come_back(spark):
+    chunks = lm_scoring.written(lm_scoring.vocabularies(spark.read.parquet(f"{SF}/documents.parquet"), ["doc_id"], F.lit(True), "text"), "test-chunks")
+    rows = chunks.select("chunk", "spelt", "tokens", "sizes", "teach", "frequency").collect()
+    tree, tool = lm_scoring.Tree(np.sum([r.frequency for r in rows], 0)), lm_scoring.zstandard.ZstdDecompressor()
+    bits, width = lm_scoring.ranges(chunks)
+    found = {r.chunk: r.found for r in lm_scoring.totals(chunks, tree, bits, width).collect() if r.chunk}
+    back = n = 0
+    for r in rows:
+        reading, _ = lm_scoring.reading_of(tool.decompress(bytes(r.spelt)), bytes(r.tokens), bytes(r.sizes), bytes(r.teach), tree, Hasher(), width, tool)
+        for kind, keys in (("codes", reading.spelling.keys), ("across", reading.keys)):
+            back += sum(len(f[kind]) for f in found[r.chunk])
+            n += len(keys)
+            level = 0
+            for level, codes in enumerate(lm_scoring.read_codes(keys, found[r.chunk], bits, tree, tool, kind), 1):
+                deep = tree.depth_of(keys) >= level
+                assert (codes[deep] > 0).all()  # every pair was counted, so one turn of two at least
+            assert level == tree.depth_of(keys).max()
+            sent = lm_scoring.squeezed_pairs(keys, width, lm_scoring.zstandard.ZstdCompressor(level=1))
+            assert len(sent) < 0.85 * len(lm_scoring.squeezed_keys(keys, lm_scoring.zstandard.ZstdCompressor(level=1)))
+            assert (lm_scoring.opened_pairs(sent, width, tool) == keys).all()
+    assert 8 * back < 7.5 * n  # bits a pair; 9 where each level has two streams of its own
+
+
+def test_codes_of_several_chunks_are_packed_apart():
+    rng = np.random.default_rng(5)
+    tree = lm_scoring.Tree(rng.integers(1, 1000, 256))
+    keys = np.unique(lm_scoring.numbered(rng.integers(0, 40, 3000).astype(np.uint64), 3, rng.integers(0, 256, 3000).astype(np.uint64), 40))
+    levels = lm_scoring.codes_of(keys, np.rint(rng.pareto(0.4, len(keys))).clip(0, 10**9).astype(np.int64), tree)
+    own = [np.arange(len(keys)), np.array([], np.int64), np.flatnonzero(rng.random(len(keys)) < 0.3), np.array([7]), np.array([7])]  # neighbours that share a context
+    at, of = np.concatenate(own), np.repeat(np.arange(len(own)), [len(x) for x in own])
+    raws = lm_scoring.packed_codes([x[at] for x in levels], of, len(own), keys[at], tree, lm_scoring.zstandard.ZstdCompressor())
+    for raw, x in zip(raws, own, strict=True):
+        deep, got = tree.depth_of(keys[x]), list(lm_scoring.unpacked_codes([raw], np.zeros(len(x), int), keys[x], tree, lm_scoring.zstandard.ZstdDecompressor()))
+        assert len(got) == deep.max(initial=0)
+        for level, codes in enumerate(got):
+            assert (codes == levels[level][x])[deep > level].all()

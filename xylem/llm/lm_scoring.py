@@ -25,6 +25,7 @@ from __future__ import annotations
 import heapq
 import uuid
 from collections.abc import Iterator
+from itertools import islice, zip_longest
 
 import numpy as np
 import pyarrow as pa
@@ -65,6 +66,8 @@ BLOCK, RATE = 1 << 15, 0.05
 RUN = 64
 #: Pairs that meet in one range of hashes.
 RANGE_PAIRS = 4_000_000
+#: Pairs whose codes are packed or unpacked in one go, of several chunks or ranges.
+PACKED = 1 << 18
 
 
 def distinct(x: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +129,7 @@ def prefixes(buf: np.ndarray, at: np.ndarray, into: np.ndarray, hasher: Hasher)
         hasher.grow(len(buf))
     sums = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * hasher.power[: len(buf)], out=sums[1:])
-    return (sums[at] - sums[at - into]) * hasher.inverse[at - into]
+    return (sums.take(at) - sums.take(at - into)) * hasher.inverse.take(at - into)
 
 
 class Spelling:
@@ -163,11 +166,11 @@ class Spelling:
         each.append((numbered(prefixes(buf, first, into, hasher), len(ORDERS) - 1, rank, width), None))
         keys = np.concatenate([k for k, _ in each])
         order = np.argsort(keys)
-        keys, place = keys[order], np.empty(len(keys), np.int32)
+        keys, place = keys.take(order), np.empty(len(keys), np.int32)
         new = np.append(True, keys[1:] != keys[:-1])  # hashes may meet
         self.keys, place[order] = keys[new], np.cumsum(new, dtype=np.int32) - 1
         each_place = np.split(place, np.cumsum([len(k) for k, _ in each])[:-1])
-        self.places = [p if back is None else p[back] for p, (_, back) in zip(each_place, each, strict=True)]
+        self.places = [p if back is None else p.take(back) for p, (_, back) in zip(each_place, each, strict=True)]
 
     def depth(self, tree: Tree) -> np.ndarray:
         return tree.depth[self.byte]
@@ -188,7 +191,7 @@ def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     low = max(1, len(keys) - 1).bit_length()
     both = np.sort(mix(keys) >> np.uint64(low) << np.uint64(low) | np.arange(len(keys), dtype=np.uint64))
     at = (both & np.uint64((1 << low) - 1)).astype(np.int64)
-    value = keys[at]
+    value = keys.take(at)
     new = np.ones(len(keys), bool)
     new[1:] = value[1:] != value[:-1]
     back = np.empty(len(keys), np.int32)
@@ -214,7 +217,7 @@ class Reading:
         self.token[real] = token
         heads = self.last - size
         mask = np.uint64((1 << 8 * LONGEST) - 1)
-        long = np.minimum(length, LONGEST).astype(np.uint8)[self.token]
+        long = np.minimum(length, LONGEST).astype(np.uint8).take(self.token)
         own, shift = np.zeros(len(begins), np.uint64), long.astype(np.uint64) * np.uint64(8)
         for i in range(LONGEST):
             own |= np.where(length > i, buf[np.maximum(spelling.ends - i, 0)], 0).astype(np.uint64) << np.uint64(8 * i)
@@ -224,18 +227,18 @@ class Reading:
             x[heads] = 0
             return x
 
-        read = own = own[self.token]
+        read = own = own.take(self.token)
         for _ in range(LONGEST // 2):  # a word and its space are two bytes at least
             read = own | (before(read) << shift & mask)
         read = before(read)
-        word = before(word_keys(spelt, hasher)[self.token])
+        word = before(word_keys(spelt, hasher).take(self.token))
         prefix, self.near, n = np.zeros(len(begins), np.uint64), [], len(spelling.byte)
         byte, trie, each = [spelling.byte], [np.arange(n)], [[] for _ in range(PREDICTORS - len(ORDERS))]
         for i in range(LONGEST):
             letter = buf[np.minimum(begins + i, len(buf) - 1)]
             prefix = prefix << np.uint64(8) | letter
             at = np.flatnonzero(long > i) if i else np.arange(len(self.token))
-            key = (read[at] << np.uint64(8 * i + 8) | prefix[self.token[at]]) & np.uint64((1 << 8 * LONGEST + 8) - 1)
+            key = (read.take(at) << np.uint64(8 * i + 8) | prefix.take(self.token.take(at))) & np.uint64((1 << 8 * LONGEST + 8) - 1)
             back, one = grouped(key if i else mix(word) ^ key)
             self.near.append((at.astype(np.int32) if len(self.token) < 1 << 31 else at, back + np.int32(n)))
             key, one = key[one], at[one]
@@ -251,11 +254,11 @@ class Reading:
         self.byte, self.trie = np.concatenate(byte), np.concatenate(trie)
         keys = np.concatenate([x for k in each for _, x in k])
         order = np.argsort(keys)
-        keys, place = keys[order], np.empty(len(keys), np.int32)
+        keys, place = keys.take(order), np.empty(len(keys), np.int32)
         new = np.append(True, keys[1:] != keys[:-1])
         self.keys, place[order] = keys[new], np.cumsum(new, dtype=np.int32) - 1
         # where a predictor has no context of its own, the cell behind all pairs' counts
-        self.places, done = [p[self.trie] for p in spelling.places], 0
+        self.places, done = [p.take(self.trie) for p in spelling.places], 0
         for parts in each:
             out = np.full(n, len(self.keys), np.int32)
             for lo, x in parts:
@@ -284,25 +287,43 @@ class Reading:
             out += np.bincount(place - len(self.spelling.keys), weights=passed, minlength=len(out)).astype(np.int64)
         return out[:-1]
 
-    def codes(self, within: list[np.ndarray], across: list[np.ndarray]) -> list[np.ndarray]:
+    def levels(self, within: Iterator[np.ndarray], across: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
         """Level by level the codes of the spelling's pairs, of those that look across, and of no pair."""
-        none = [np.zeros(n, np.uint16) for n in (len(self.spelling.keys), len(self.keys), 1)]
-        return [np.concatenate([(x[level] if level < len(x) else n) for x, n in zip((within, across), none, strict=False)] + none[2:]) for level in range(max(len(within), len(across)))]
+        ended = [np.zeros(n, np.uint16) for n in (len(self.spelling.keys), len(self.keys), 1)]
+        for a, b in zip_longest(within, across):
+            yield np.concatenate([ended[0] if a is None else a, ended[1] if b is None else b, ended[2]])
+
+    def codes(self, within: list[np.ndarray], across: list[np.ndarray]) -> list[np.ndarray]:
+        return list(self.levels(within, across))
 
     def stream(self) -> tuple[np.ndarray, np.ndarray]:
         """The edges passed by all texts, and where each text ends."""
         begins, length = np.concatenate(([0], self.spelling.ends[:-1] + 1)), np.diff(self.spelling.ends, prepend=-1)
-        ends = np.cumsum(length[self.token])
+        ends = np.cumsum(length.take(self.token))
         out = np.empty(ends[-1] if len(ends) else 0, np.int32)
         for lo in range(0, len(ends), BLOCK):
             t, e = self.token[lo : lo + BLOCK], ends[lo : lo + BLOCK]
-            n = length[t]
-            out[e[0] - n[0] : e[-1]] = self.spelling.edge[np.arange(e[0] - n[0], e[-1]) + np.repeat(begins[t] - (e - n), n)]
+            n = length.take(t)
+            out[e[0] - n[0] : e[-1]] = self.spelling.edge.take(np.arange(e[0] - n[0], e[-1]) + np.repeat(begins.take(t) - (e - n), n))
+        starts = np.concatenate(([0], ends[:-1]))
         for i, (at, edge) in enumerate(self.near):
-            out[(ends[at] - length[self.token[at]]) + i] = edge
+            out[starts.take(at) + i] = edge
         return out, ends[self.last]
 
 
+class Onward:
+    """What an iterator gives, by number; only the last is kept."""
+
+    def __init__(self, items: Iterator[np.ndarray]) -> None:
+        self.items, self.at = enumerate(items), (-1, None)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        while self.at[0] < i:
+            self.at = None  # goes before the next is made
+            self.at = next(self.items)
+        return self.at[1]
+
+
 _FEW = np.arange(1 << 12)
 _FEW = np.where(_FEW <= 32, _FEW, np.rint(32 + 8 * np.log2(np.maximum(_FEW, 32) / 32))).astype(np.uint8)
 
@@ -367,16 +388,16 @@ class Mixer:
         self.weights = np.full((GATES, PREDICTORS), 0.3, np.float32) if weights is None else weights.astype(np.float32)
 
     @staticmethod
-    def inputs(places: list[np.ndarray], codes: np.ndarray, part: slice | np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    def inputs(places: list[np.ndarray], codes: np.ndarray, part: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
         """Logits of each predictor for the edges' own turns, and gates."""
         x, gate = [], 0
         for k, place in enumerate(places):
-            code = codes[place[part]]
-            x.append(table[0][code])
+            code = codes.take(place.take(part))  # take is faster than an index
+            x.append(table[0].take(code))
             if k in GATING:
-                gate = gate * np.uint8(8) + table[1][code]
+                gate = gate * np.uint8(8) + table[1].take(code)
             if k == PREDICTORS - 2:
-                gate = gate + np.uint8(64) * (table[1][code] >> np.uint8(1))
+                gate = gate + np.uint8(64) * (table[1].take(code) >> np.uint8(1))
         return x, gate
 
     @staticmethod
@@ -387,7 +408,7 @@ class Mixer:
             for lo in range(0, n, BLOCK):
                 yield level, slice(lo, min(lo + BLOCK, n))
 
-    def learn(self, spelling: Spelling | Reading, codes: list[np.ndarray], passed: np.ndarray, tree: Tree) -> np.ndarray:
+    def learn(self, spelling: Spelling | Reading, codes: list[np.ndarray] | Onward, passed: np.ndarray, tree: Tree) -> np.ndarray:
         """Online steps over all decisions of the edges passed; returns how much each gate met."""
         met, square = np.zeros(GATES), np.full(self.weights.shape, 1e-3)
         order = np.flatnonzero(passed)
@@ -397,8 +418,8 @@ class Mixer:
         blocks = ((level, at[lo : lo + BLOCK]) for level in range(int(depth.max(initial=0))) for at in [order[depth > level]] for lo in range(0, len(at), BLOCK))
         for level, part in blocks:
             x, gate = self.inputs(spelling.places, codes[level], part, _LESS)
-            n, cell = passed[part].astype(np.float32), gate.astype(np.intp)
-            z = sum(row * v[cell] for v, row in zip(w.T.astype(np.float32, order="C"), x, strict=False))
+            n, cell = passed.take(part).astype(np.float32), gate.astype(np.intp)
+            z = sum(row * v.take(cell) for v, row in zip(w.T.astype(np.float32, order="C"), x, strict=False))
             err = n * cost(z)[1]  # all logits are of the turn taken
             mass = np.bincount(cell, weights=n, minlength=GATES)
             step = np.stack([np.bincount(cell, weights=err * row, minlength=GATES) for row in x], 1) / np.maximum(mass, 1)[:, None]
@@ -409,18 +430,19 @@ class Mixer:
         self.weights = w.astype(np.float32)
         return met
 
-    def weighed(self, spelling: Spelling | Reading, codes: list[np.ndarray], tree: Tree) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def weighed(self, spelling: Spelling | Reading, codes: list[np.ndarray] | Onward, tree: Tree) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Level by level edges that decide there, and their groups' weighed logits (edge, group), of the turn taken."""
         depth = spelling.depth(tree)
-        order = np.argsort(np.uint8(255) - depth, kind="stable")
-        places = [p[order] for p in spelling.places]
+        order = np.argsort(np.uint8(255) - depth, kind="stable").astype(np.int32)
         weights = self.weights.T.copy()
         for level, part in self.parts(depth[order]):
-            x, gate = self.inputs(places, codes[level], part, _WHOLE)
-            rows = np.zeros((len(gate), GROUP[-1] + 1), np.float32)
+            edges = order[part]
+            x, gate = self.inputs(spelling.places, codes[level], edges, _WHOLE)
+            rows = np.zeros((GROUP[-1] + 1, len(gate)), np.float32)
             for w, row, group in zip(weights, x, GROUP, strict=False):
-                rows[:, group] += w[gate] * row
-            yield level, order[part], rows
+                row *= w.take(gate)
+                rows[group] += row
+            yield level, edges, rows.T
 
     def costs(self, spelling: Spelling | Reading, codes: list[np.ndarray], tree: Tree) -> np.ndarray:
         """(1, edge): minus the natural logarithm of each edge's probability, before a text's own learning."""
@@ -429,15 +451,17 @@ class Mixer:
             out[0, edges] += cost(rows.sum(1))[0]
         return out
 
-    def text_costs(self, reading: Reading, codes: list[np.ndarray], tree: Tree) -> tuple[np.ndarray, np.ndarray]:
+    def text_costs(self, reading: Reading, codes: list[np.ndarray] | Onward, tree: Tree) -> tuple[np.ndarray, np.ndarray]:
         """Minus the natural logarithm of each text's probability, with the second layer and without."""
         depth = reading.depth(tree)
         first = np.concatenate(([0], np.cumsum(depth, dtype=np.int64)))
         first = first.astype(np.int32) if first[-1] < 1 << 31 else first
         logits, plain = np.empty(first[-1], np.uint64), np.zeros(len(depth), np.float32)  # four shorts a decision
         for level, edges, rows in self.weighed(reading, codes, tree):
-            logits[first[edges] + level] = np.rint(np.clip(rows, -31, 31) / UNIT).astype(np.int16).view(np.uint64).ravel()
+            logits[first.take(edges) + level] = np.ascontiguousarray(np.rint(np.clip(rows, -31, 31) / UNIT).astype(np.int16)).view(np.uint64).ravel()
             plain[edges] += cost(rows.sum(1))[0]
+        edges = rows = codes = None
+        give_back()
         edges, ends = reading.stream()
         size = np.diff(ends, prepend=0)
         longest_first = np.argsort(-size, kind="stable")
@@ -445,7 +469,12 @@ class Mixer:
         for lo in range(0, len(size), TOGETHER):
             texts = longest_first[lo : lo + TOGETHER]
             out[texts] = self.refined(edges, ends[texts] - size[texts], size[texts], first, depth, logits)
-        return out, np.add.reduceat(plain[edges], ends - size, dtype=np.float64)
+        del logits
+        even = np.zeros(len(size))
+        for lo in range(0, len(size), TOGETHER):
+            begin = ends[lo : lo + TOGETHER] - size[lo : lo + TOGETHER]
+            even[lo : lo + TOGETHER] = np.add.reduceat(plain.take(edges[begin[0] : ends[lo : lo + TOGETHER][-1]]), begin - begin[0], dtype=np.float64)
+        return out, even
 
     @staticmethod
     def refined(edges: np.ndarray, begin: np.ndarray, size: np.ndarray, first: np.ndarray, depth: np.ndarray, logits: np.ndarray) -> np.ndarray:
@@ -455,10 +484,10 @@ class Mixer:
             m = int(np.searchsorted(-size, -lo))
             n = np.minimum(size[:m] - lo, STEP)
             end = np.cumsum(n)
-            passed = edges[np.arange(end[-1]) + np.repeat(begin[:m] + lo - (end - n), n)]
-            deep = depth[passed]
+            passed = edges.take(np.arange(end[-1]) + np.repeat(begin[:m] + lo - (end - n), n))
+            deep = depth.take(passed)
             to = np.cumsum(deep, dtype=first.dtype)
-            x = logits[np.arange(to[-1], dtype=first.dtype) + np.repeat(first[passed] - (to - deep), deep)].view(np.int16).reshape(-1, len(factors))
+            x = logits.take(np.arange(to[-1], dtype=first.dtype) + np.repeat(first.take(passed) - (to - deep), deep)).view(np.int16).reshape(-1, len(factors))
             x = [x[:, k].astype(np.float32) for k in range(len(factors))]
             of_text = to[end - 1]
             cut, many = np.concatenate(([0], of_text[:-1])), np.diff(of_text, prepend=0)
@@ -496,6 +525,32 @@ def opened_keys(raw: bytes, tool: zstandard.ZstdDecompressor) -> np.ndarray:
     return np.cumsum(opened(raw, np.uint64, tool), dtype=np.uint64)
 
 
+def joined(parts: list[bytes]) -> bytes:
+    """The lengths of all parts, which are a fixed number, and the parts."""
+    return np.array([len(x) for x in parts], np.uint32).tobytes() + b"".join(parts)
+
+
+def parted(raw: bytes, n: int) -> Iterator[bytes]:
+    cut = 4 * n + np.concatenate(([0], np.cumsum(np.frombuffer(raw[: 4 * n], np.uint32), dtype=np.int64)))
+    return (raw[a:b] for a, b in zip(cut.tolist(), cut[1:].tolist(), strict=False))
+
+
+def squeezed_pairs(keys: np.ndarray, width: int, tool: zstandard.ZstdCompressor) -> bytes:
+    """Pairs' numbers, ascending: each context once, with its order, then which pairs begin one, and the bytes' ranks."""
+    context = (keys >> np.uint64(64 - width) << np.uint64(3)) | (keys >> np.uint64(8) & np.uint64(7))
+    new = np.ones(len(keys), bool)
+    new[1:] = context[1:] != context[:-1]
+    return joined([squeezed_keys(context[new], tool), tool.compress(np.packbits(new).tobytes()), tool.compress(keys.astype(np.uint8).tobytes())])
+
+
+def opened_pairs(raw: bytes, width: int, tool: zstandard.ZstdDecompressor) -> np.ndarray:
+    context, new, rank = parted(raw, 3)
+    context, rank = opened_keys(context, tool), np.frombuffer(tool.decompress(rank), np.uint8)
+    new = np.unpackbits(np.frombuffer(tool.decompress(new), np.uint8), count=len(rank))
+    context = (context >> np.uint64(3) << np.uint64(64 - width)) | ((context & np.uint64(7)) << np.uint64(8))
+    return context[np.cumsum(new, dtype=np.int64) - 1] | rank
+
+
 def vocabularies(docs: DataFrame, keep: list[str], learns, text_col: str) -> DataFrame:
     """Chunks of documents as words: (chunk, spelt, times, frequency, tokens, sizes, teach, rest).
 
@@ -582,9 +637,10 @@ def totals(chunks: DataFrame, tree: Tree, bits: int, width: int) -> DataFrame:
                 reading, teach = reading_of(spelt, *read, tree, hasher, width, opener)
                 passed = reading.edge_counts(times, teach)
                 pairs = reading.keys, reading.pair_counts(passed)
-                learnt = np.array_split(learned(reading, times, passed, pairs, tree).ravel(), 1 << bits)
-                sets = (reading.spelling.keys, reading.spelling.pair_counts(times).astype(np.uint64)), (pairs[0], pairs[1].astype(np.uint64))
-                del reading, passed, pairs
+                within = reading.spelling.keys, reading.spelling.pair_counts(times)
+                learnt = np.array_split(learned(reading, within, passed, pairs, tree).ravel(), 1 << bits)
+                sets = [(keys, n.astype(np.uint64)) for keys, n in (within, pairs)]
+                del reading, passed, within, pairs
                 words = word_keys(spelt, hasher)
                 order = np.argsort(words)
                 words, times = words[order], times[order]
@@ -592,7 +648,9 @@ def totals(chunks: DataFrame, tree: Tree, bits: int, width: int) -> DataFrame:
                 rows = []
                 for r in range(1 << bits):
                     cuts = [(keys, n, slice(*at.get(r, (0, 0)))) for keys, n, at in sets]
-                    rows.append((r, *(x for keys, n, c in cuts for x in (squeezed_keys(keys[c], tool), squeezed(n[c], tool))), learnt[r].tobytes()))
+                    (own, _, c), *_ = cuts
+                    names = squeezed_keys(own[c], tool), *(squeezed_pairs(keys[c], width, tool) for keys, _, c in cuts[1:])
+                    rows.append((r, *(x for name, (_, n, c) in zip(names, cuts, strict=True) for x in (name, squeezed(n[c], tool))), learnt[r].tobytes()))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([x[0] for x in rows], pa.int32()), pa.array([chunk] * len(rows), pa.string()), *(pa.array([x[i] for x in rows], pa.binary()) for i in range(1, 8))],
                     ["r", "chunk", "words", "times", "keys", "counts", "across", "passed", "learnt"])
@@ -610,11 +668,12 @@ def totals(chunks: DataFrame, tree: Tree, bits: int, width: int) -> DataFrame:
         _, times, own = summed(column("words", opened_keys), column("times", opened, np.uint64))
         found = [[squeezed(times[word].astype(np.uint64), tool) for word in own]]
         for keys, counts in (("keys", "counts"), ("across", "passed")):
-            key, total, places = summed(column(keys, opened_keys), column(counts, opened, np.uint64))
+            key, total, places = summed(column(keys, opened_pairs, width), column(counts, opened, np.uint64))
             levels = codes_of(key, total, tree)
             found.append([])
-            for at in places:
-                found[-1].append(packed_codes([level[at] for level in levels], key[at], tree, tool))
+            for group in together([len(at) for at in places]):
+                at, of = np.concatenate(places[group]), np.repeat(np.arange(len(places[group])), [len(x) for x in places[group]])
+                found[-1] += packed_codes([level.take(at) for level in levels], of, len(places[group]), key.take(at), tree, tool)
             del levels, places, key, total
         learnt = np.sum([np.frombuffer(x, np.float64) for x in table["learnt"].to_pylist()], axis=0).tobytes()
         found.append([learnt] * len(own))
@@ -639,49 +698,121 @@ def reading_of(spelt: bytes, tokens: bytes, sizes: bytes, teach: bytes, tree: Tr
 
 def read_codes(keys: np.ndarray, found: list[dict], bits: int, tree: Tree, tool: zstandard.ZstdDecompressor, kind: str = "codes") -> list[np.ndarray]:
     """Level by level the codes (own turn's above the other's) at the nodes of a chunk's pairs."""
-    out = [np.zeros(len(keys), np.uint16) for _ in range(int(tree.depth_of(keys).max(initial=0)))]
-    of = {f["r"]: f[kind] for f in found}
-    for r, a, b in by_range(keys, bits):
-        for codes, part in zip(out, unpacked_codes(of[r], keys[a:b], tree, tool), strict=False):
-            codes[a:b] = part
-    return out
-
-
-def nodes(keys: np.ndarray, tree: Tree) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Level by level which pairs (ascending) decide there, the first of them under the same node, and whether they take its turn."""
-    context, byte = keys >> np.uint64(8), tree.byte[(keys & np.uint64(0xFF)).astype(np.uint8)]
-    for level in range(int(tree.depth[byte].max(initial=0))):
-        at = np.flatnonzero(tree.depth[byte] > level)  # bytes under a node follow each other
-        node, turn = tree.node[level, byte[at]], tree.turn[level, byte[at]]
-        new = np.append(True, (context[at[1:]] != context[at[:-1]]) | (node[1:] != node[:-1]))
+    return list(read_levels(keys, found, bits, tree, tool, kind))
+
+
+def read_levels(keys: np.ndarray, found: list[dict], bits: int, tree: Tree, tool: zstandard.ZstdDecompressor, kind: str) -> Iterator[np.ndarray]:
+    of, at = {f["r"]: f[kind] for f in found}, list(by_range(keys, bits))
+    groups = [at[g] for g in together([b - a for _, a, b in at])]
+    parts = [keys[g[0][1] : g[-1][2]] for g in groups]
+    levels = (unpacked_codes([of[r] for r, _, _ in g], np.repeat(np.arange(len(g)), [b - a for _, a, b in g]), part, tree, tool) for g, part in zip(groups, parts, strict=True))
+    for each in zip_longest(*levels):
+        yield np.concatenate([np.zeros(len(part), np.uint16) if x is None else x for x, part in zip(each, parts, strict=True)])
+
+
+def nodes(keys: np.ndarray, tree: Tree, of: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Level by level which pairs (ascending, in each part that ``of`` names) decide there, the first of them under the same node, and whether they take its turn."""
+    context, byte = keys >> np.uint64(8), tree.byte.take(keys.astype(np.uint8))
+    context = np.cumsum((context != np.roll(context, 1)) | (of != np.roll(of, 1)), dtype=np.int32)
+    at, depth = np.arange(len(keys), dtype=np.int32), tree.depth.take(byte)
+    for level in range(int(depth.max(initial=0))):
+        deep = depth > level  # bytes under a node follow each other
+        at, context, byte, depth = at[deep], context[deep], byte[deep], depth[deep]
+        node, turn = tree.node[level].take(byte), tree.turn[level].take(byte)
+        new = np.ones(len(at), bool)
+        new[1:] = (context[1:] != context[:-1]) | (node[1:] != node[:-1])
         first = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
-        yield at, at[first], turn == turn[first]
-
-
-def packed_codes(levels: list[np.ndarray], keys: np.ndarray, tree: Tree, tool: zstandard.ZstdCompressor) -> bytes:
-    """Level by level the codes once a node: the other turn's where the level above leaves any, the own where it doesn't follow; each kind compressed apart."""
-    out, above = [], np.full(len(keys), 255, np.uint8)
-    for (at, first, _), codes in zip(nodes(keys, tree), levels, strict=False):
-        own, other, sent = (codes >> np.uint16(8)).astype(np.uint8), (codes & np.uint16(0xFF)).astype(np.uint8), at[at == first]
-        out += [tool.compress(other[sent[above[sent] > 0]].tobytes()), tool.compress(own[sent[above[sent] > 31]].tobytes())]
+        yield at, at.take(first), turn == turn.take(first)
+
+
+#: Codes travel by kind, each compressed apart: the other turn's by the code above, what the own turn's is off by whether little or much is left for it, and both at the root by order.
+_KIND = np.searchsorted((0, 1, 2, 3, 4, 6, 8, 12, 16, 24, 31, *range(47, 256, 16)), np.arange(256)).astype(np.uint8)
+_LEFT = int(_KIND.max()) + 1
+_ROOT = _LEFT + 3
+KINDS = _ROOT + 16
+#: The own turn's code that the codes above and of the other turn leave, the one above at the top.
+_REST = coded(np.maximum(np.rint(_COUNT[:, None] - _COUNT[None, :]), 0).astype(np.int64).ravel())
+
+
+def left(above: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which code and kind the own turn's likely has."""
+    return _REST[above.astype(np.uint16) << np.uint16(8) | other], np.searchsorted((4, 12), above.astype(np.int16) - other, "right").astype(np.uint8) + np.uint8(_LEFT)
+
+
+def packed_codes(levels: list[np.ndarray], of: np.ndarray, n: int, keys: np.ndarray, tree: Tree, tool: zstandard.ZstdCompressor) -> list[bytes]:
+    """Level by level the codes once a node: the other turn's where the level above leaves any, the own where it doesn't follow. ``of``: which of ``n`` chunks has the pair; each is packed apart."""
+    sent_codes, kinds, above = [np.zeros(0, np.uint8)], [np.zeros(0, np.uint16)], None
+    of = (of * KINDS).astype(np.uint16 if n * KINDS <= 1 << 16 else np.uint32)
+    for (at, first, _), codes in zip(nodes(keys, tree, of), levels, strict=False):
+        own, other, sent = (codes >> np.uint16(8)).astype(np.uint8), codes.astype(np.uint8), at[at == first]
+        if above is None:
+            order = of.take(sent) + (order_of(keys.take(sent)) + np.uint8(_ROOT))
+            sent_codes += [other.take(sent), own.take(sent)]
+            kinds += [order, order + np.uint8(8)]
+        else:
+            sent = sent[above.take(sent) > 0]
+            a, b = above.take(sent), other.take(sent)
+            many = np.flatnonzero(a > 31)
+            rest, kind = left(a.take(many), b.take(many))
+            sent_codes += [b, own.take(sent.take(many)) - rest]
+            kinds += [of.take(sent) + _KIND.take(a), of.take(sent.take(many)) + kind]
         above = own
-    return np.array([len(x) for x in out], np.uint32).tobytes() + b"".join(out)
-
+    sent_codes, kinds = np.concatenate(sent_codes), np.concatenate(kinds)
+    parts = np.split(sent_codes.take(np.argsort(kinds, kind="stable")), np.cumsum(np.bincount(kinds, minlength=n * KINDS))[:-1])
+    parts = [tool.compress(x.tobytes()) if len(x) else b"" for x in parts]
+    return [joined(parts[i * KINDS : (i + 1) * KINDS]) for i in range(n)]
+
+
+def unpacked_codes(raws: list[bytes], of: np.ndarray, keys: np.ndarray, tree: Tree, tool: zstandard.ZstdDecompressor) -> Iterator[np.ndarray]:
+    """Level by level the codes of pairs (ascending) that are packed in several ranges; ``of``: in which."""
+    parts = [np.frombuffer(tool.decompress(x) if x else b"", np.uint8) for raw in raws for x in parted(raw, KINDS)]
+    codes, next_ = np.concatenate([np.zeros(0, np.uint8), *parts]), np.cumsum([0, *map(len, parts[:-1])])[: len(parts)]
+    of = (of * KINDS).astype(np.uint16 if len(parts) <= 1 << 16 else np.uint32)
+
+    def read(kind: np.ndarray, at: np.ndarray) -> np.ndarray:
+        kind = of.take(at) + kind
+        by_kind, n, out = np.argsort(kind, kind="stable"), np.bincount(kind, minlength=len(next_)), np.empty(len(kind), np.uint8)
+        out[by_kind] = codes.take(np.arange(len(kind)) + np.repeat(next_ - (np.cumsum(n) - n), n))
+        next_[:] += n
+        return out
 
-def unpacked_codes(raw: bytes, keys: np.ndarray, tree: Tree, tool: zstandard.ZstdDecompressor) -> Iterator[np.ndarray]:
-    above, deepest = np.full(len(keys), 255, np.uint8), int(tree.depth_of(keys).max(initial=0))
-    cut = 8 * deepest + np.concatenate(([0], np.cumsum(np.frombuffer(raw[: 8 * deepest], np.uint32), dtype=np.int64)))
-    parts = (np.frombuffer(tool.decompress(raw[a:b]), np.uint8) for a, b in zip(cut, cut[1:], strict=False))
-    for at, first, same in nodes(keys, tree):
+    above = None
+    for at, first, same in nodes(keys, tree, of):
         own, other, sent = np.zeros(len(keys), np.uint8), np.zeros(len(keys), np.uint8), at[at == first]
-        other[sent[above[sent] > 0]] = next(parts)
-        own[sent] = above[sent] - other[sent]  # counts below 32 are their own codes, and 32 may be 33
-        own[sent[above[sent] > 31]] = next(parts)
-        own[at], other[at] = np.where(same, own[first], other[first]), np.where(same, other[first], own[first])
+        if above is None:
+            order = order_of(keys[sent]) + np.uint8(_ROOT)
+            other[sent], own[sent] = read(order, sent), read(order + np.uint8(8), sent)
+        else:
+            sent = sent[above.take(sent) > 0]
+            a = above.take(sent)
+            b = read(_KIND.take(a), sent)
+            c = a - b  # counts below 32 are their own codes, and 32 may be 33
+            many = np.flatnonzero(a > 31)
+            rest, kind = left(a[many], b[many])
+            c[many] = rest + read(kind, sent.take(many))
+            other[sent], own[sent] = b, c
+        x, y = own.take(first), other.take(first)
+        own[at], other[at] = np.where(same, x, y), np.where(same, y, x)
         yield own.astype(np.uint16) << np.uint16(8) | other
         above = own
 
 
+def together(sizes: list[int]) -> Iterator[slice]:
+    """Slices of about ``PACKED`` pairs, one item at least."""
+    lo = n = 0
+    for i, size in enumerate(sizes):
+        if i > lo and n + size > PACKED:
+            yield slice(lo, i)
+            lo, n = i, 0
+        n += size
+    if lo < len(sizes):
+        yield slice(lo, len(sizes))
+
+
+def order_of(keys: np.ndarray) -> np.ndarray:
+    return (keys >> np.uint64(8) & np.uint64(7)).astype(np.uint8)
+
+
 def read_times(words: np.ndarray, found: list[dict], bits: int, tool: zstandard.ZstdDecompressor) -> np.ndarray:
     order = np.argsort(words)
     out, of = np.zeros(len(words), np.int64), {f["r"]: f["times"] for f in found}
@@ -696,17 +827,23 @@ def own_counts(spelling: Spelling, times: np.ndarray, tree: Tree) -> list[np.nda
 
 
 def codes_of(keys: np.ndarray, totals: np.ndarray, tree: Tree) -> list[np.ndarray]:
-    out = [both(totals, np.zeros_like(totals))] * int(tree.depth_of(keys).max(initial=0))
-    for level, (at, own, other) in enumerate(node_counts(keys, totals, tree)):
-        out[level] = out[level].copy()
-        out[level][at] = both(own, other)
-    return out
+    return list(levels_of(keys, totals, tree))
+
+
+def levels_of(keys: np.ndarray, totals: np.ndarray, tree: Tree) -> Iterator[np.ndarray]:
+    alone, found = both(totals, np.zeros_like(totals)), node_counts(keys, totals, tree)
+    for _ in range(int(tree.depth_of(keys).max(initial=0))):
+        out = alone
+        for at, own, other in islice(found, 1):
+            out = alone.copy()
+            out[at] = both(own, other)
+        yield out
 
 
-def learned(reading: Reading, times: np.ndarray, passed: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], tree: Tree) -> np.ndarray:
+def learned(reading: Reading, within: tuple[np.ndarray, np.ndarray], passed: np.ndarray, across: tuple[np.ndarray, np.ndarray], tree: Tree) -> np.ndarray:
     """What a chunk learns online from its own counts: weights times how many decisions their gate met, and that number, by gate."""
     mixer = Mixer()
-    met = mixer.learn(reading, reading.codes(own_counts(reading.spelling, times, tree), codes_of(*pairs, tree)), passed, tree)
+    met = mixer.learn(reading, Onward(reading.levels(levels_of(*within, tree), levels_of(*across, tree))), passed, tree)
     return np.column_stack([mixer.weights * met[:, None], met])
 
 
@@ -746,9 +883,7 @@ def scores(docs: DataFrame, learns, keep: list[str], text_col: str = "text") ->
                     continue
                 spelt = opener.decompress(spelt)
                 reading, _ = reading_of(spelt, tokens, sizes, teach, tree, hasher, width, opener)
-                within, across = (read_codes(x.keys, found, bits, tree, opener, kind) for x, kind in ((reading.spelling, "codes"), (reading, "across")))
-                codes = reading.codes(within, across)
-                del within, across
+                codes = Onward(reading.levels(*(read_levels(x.keys, found, bits, tree, opener, kind) for x, kind in ((reading.spelling, "codes"), (reading, "across")))))
                 logs = -np.stack(Mixer(mean_weights(found, bits)).text_costs(reading, codes, tree))
                 length = np.diff(reading.spelling.ends, prepend=-1)
                 del reading, codes
