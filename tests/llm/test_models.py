@@ -342,6 +342,36 @@ def test_lm_second_layer_steps_through_a_text():
     assert refined[3] != plain[3]
 
 
+def test_lm_orders_and_groups_are_numpys():
+    rng = np.random.default_rng(0)
+    for width in (24, 40, 64 - lm_scoring.LOW):
+        for n in (0, 1, 1000, 100_000):
+            keys = rng.integers(0, 1 << 12, n).astype(np.uint64) << np.uint64(64 - width) | rng.integers(0, 1 << lm_scoring.LOW, n).astype(np.uint64)
+            assert (keys[lm_scoring.ordered(keys, width)] == np.sort(keys)).all()
+            back, one = lm_scoring.grouped(keys)
+            assert (keys[one][back] == keys).all() and len(one) == len(np.unique(keys)) and (np.diff(one) > 0).all()
+
+
+def test_lm_freed_memory_stays_while_a_chunk_is_worked_on():
+    """Arrays that come and go cost few new pages, until memory is given back."""
+    resource, ctypes = pytest.importorskip("resource"), pytest.importorskip("ctypes")
+    if not hasattr(ctypes.CDLL(None), "mallopt"):
+        pytest.skip("another C library")
+
+    def pages():
+        before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+        for _ in range(50):
+            np.ones(1 << 18)
+        return resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before
+
+    lm_scoring.let_go()
+    given = pages()
+    lm_scoring.keep_freed()
+    kept = pages()
+    lm_scoring.let_go()
+    assert kept < given / 5
+
+
 def test_lm_bits_of_held_out_texts(spark):
     held = [r for r in lm_scoring.op6(spark, SF).collect() if r.held_out]
     assert 2 < np.mean([r.bits_per_byte for r in held]) < 2.45

@@ -22,9 +22,10 @@ nothing that grows is gathered.
 
 from __future__ import annotations
 
+import ctypes
 import heapq
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import islice, zip_longest
 
 import numpy as np
@@ -58,6 +59,8 @@ LOW = 11
 SALT = 0x5851F42D4C957F2D
 #: Bytes between two steps of learning within a text, and the length of the first; texts that take steps together.
 STEP, STEP_RATE, TOGETHER = 64, 0.05, 256
+#: Levels of an edge whose decisions lie together, as most edges have about as many.
+HEAD = 4
 #: What a group's logit is kept in, to 2 bytes.
 UNIT = np.float32(2.0**-10)
 #: Decisions between two steps of learning, and the length of the first steps.
@@ -70,18 +73,38 @@ RANGE_PAIRS = 4_000_000
 PACKED = 1 << 18
 
 
-def distinct(x: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values of ``bits`` bits, ascending, and each value's place among them."""
-    low = max(1, len(x) - 1).bit_length()
-    if bits + low > 64:
-        return np.unique(x, return_inverse=True)
-    both = np.sort(x << np.uint64(low) | np.arange(len(x), dtype=np.uint64))  # faster than an order of the values
-    value, at = both >> np.uint64(low), (both & np.uint64((1 << low) - 1)).astype(np.int64)
-    new = np.ones(len(x), bool)
-    new[1:] = value[1:] != value[:-1]
-    back = np.empty(len(x), np.int32)
-    back[at] = np.cumsum(new, dtype=np.int32) - 1
-    return value[new], back
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each key's group, numbered as they first appear, and where that is."""
+    back = pa.Array.from_buffers(pa.uint64(), len(keys), [None, pa.py_buffer(keys)]).dictionary_encode().indices.to_numpy()
+    return back, np.flatnonzero(np.diff(np.maximum.accumulate(back), prepend=np.int32(-1)))
+
+
+def ordered(keys: np.ndarray, width: int) -> np.ndarray:
+    """An order of the pairs' numbers, by what is below and above their 16 lowest bits; faster than an order at once."""
+    low = max(1, len(keys) - 1).bit_length()
+    if width + LOW - 16 + low > 64:
+        return np.argsort(keys)
+    bits = (keys >> np.uint64(64 - width) << np.uint64(LOW)) | (keys & np.uint64((1 << LOW) - 1))
+    at = np.argsort(bits.astype(np.uint16), kind="stable")
+    bits >>= np.uint64(16)
+    both = bits.take(at) << np.uint64(low) | np.arange(len(keys), dtype=np.uint64)
+    both.sort()
+    return at.take((both & np.uint64((1 << low) - 1)).astype(np.int64))
+
+
+def keep_freed() -> None:
+    """Until ``let_go``, arrays of under 8 MB and some memory beyond stay with the process, where the C library can: arrays that come and go cost no new pages each time."""
+    library = ctypes.CDLL(None)
+    if hasattr(library, "mallopt"):
+        library.mallopt(-1, 1 << 25)  # M_TRIM_THRESHOLD
+        library.mallopt(-3, 1 << 23)  # M_MMAP_THRESHOLD
+
+
+def let_go() -> None:
+    library = ctypes.CDLL(None)
+    if hasattr(library, "mallopt"):
+        library.mallopt(-1, 1 << 17)
+    give_back()
 
 
 class Tree:
@@ -161,11 +184,13 @@ class Spelling:
             for i in range(done + 1, size + 1):
                 near |= np.where(into >= i, buf[np.maximum(first - i, 0)], 0).astype(np.uint64) << np.uint64(8 * (i - 1))
             done = size
-            plain, back = distinct((near << np.uint64(8)) | rank, 8 * size + 8)
+            plain = (near << np.uint64(8)) | rank
+            back, one = grouped(plain)
+            plain = plain.take(one)
             each.append((numbered(plain >> np.uint64(8), order, plain & np.uint64(0xFF), width), back))
         each.append((numbered(prefixes(buf, first, into, hasher), len(ORDERS) - 1, rank, width), None))
         keys = np.concatenate([k for k, _ in each])
-        order = np.argsort(keys)
+        order = ordered(keys, width)
         keys, place = keys.take(order), np.empty(len(keys), np.int32)
         new = np.append(True, keys[1:] != keys[:-1])  # hashes may meet
         self.keys, place[order] = keys[new], np.cumsum(new, dtype=np.int32) - 1
@@ -186,19 +211,6 @@ class Spelling:
         return out
 
 
-def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each key's group, and a place of each group. Equal keys share one, but where hashes meet there may be two."""
-    low = max(1, len(keys) - 1).bit_length()
-    both = np.sort(mix(keys) >> np.uint64(low) << np.uint64(low) | np.arange(len(keys), dtype=np.uint64))
-    at = (both & np.uint64((1 << low) - 1)).astype(np.int64)
-    value = keys.take(at)
-    new = np.ones(len(keys), bool)
-    new[1:] = value[1:] != value[:-1]
-    back = np.empty(len(keys), np.int32)
-    back[at] = np.cumsum(new, dtype=np.int32) - 1
-    return back, at[new]
-
-
 class Reading:
     """A chunk's texts read across words: edges are all that contexts and byte tell apart.
 
@@ -253,7 +265,7 @@ class Reading:
             n += len(key)
         self.byte, self.trie = np.concatenate(byte), np.concatenate(trie)
         keys = np.concatenate([x for k in each for _, x in k])
-        order = np.argsort(keys)
+        order = ordered(keys, width)
         keys, place = keys.take(order), np.empty(len(keys), np.int32)
         new = np.append(True, keys[1:] != keys[:-1])
         self.keys, place[order] = keys[new], np.cumsum(new, dtype=np.int32) - 1
@@ -388,17 +400,30 @@ class Mixer:
         self.weights = np.full((GATES, PREDICTORS), 0.3, np.float32) if weights is None else weights.astype(np.float32)
 
     @staticmethod
-    def inputs(places: list[np.ndarray], codes: np.ndarray, part: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    def lookup(codes: np.ndarray, table: tuple[np.ndarray, np.ndarray], edges: int) -> Callable[[np.ndarray, bool], tuple[np.ndarray, np.ndarray | None]]:
+        """Reads logits, and states where asked, at places of ``codes``; all at once where ``edges`` outnumber them."""
+        if PREDICTORS * edges > 2 * len(codes):
+            logit, seen = table[0].take(codes), table[1].take(codes)
+            return lambda at, gates: (logit.take(at), seen.take(at) if gates else None)
+
+        def one(at: np.ndarray, gates: bool) -> tuple[np.ndarray, np.ndarray | None]:
+            code = codes.take(at)  # take is faster than an index
+            return table[0].take(code), table[1].take(code) if gates else None
+
+        return one
+
+    @staticmethod
+    def inputs(places: Iterable[np.ndarray], look: Callable[[np.ndarray, bool], tuple[np.ndarray, np.ndarray | None]]) -> tuple[list[np.ndarray], np.ndarray]:
         """Logits of each predictor for the edges' own turns, and gates."""
         x, gate = [], 0
         for k, place in enumerate(places):
-            code = codes.take(place.take(part))  # take is faster than an index
-            x.append(table[0].take(code))
+            row, seen = look(place, k in GATING or k == PREDICTORS - 2)
+            x.append(row)
             if k in GATING:
-                gate = gate * np.uint8(8) + table[1].take(code)
+                gate = gate * np.uint8(8) + seen
             if k == PREDICTORS - 2:
-                gate = gate + np.uint8(64) * (table[1].take(code) >> np.uint8(1))
-        return x, gate
+                gate = gate + np.uint8(64) * (seen >> np.uint8(1))
+        return x, gate.astype(np.intp)
 
     @staticmethod
     def parts(depth: np.ndarray) -> Iterator[tuple[int, slice]]:
@@ -415,10 +440,10 @@ class Mixer:
         runs = np.random.default_rng(1).permutation(-(-len(order) // RUN))[:, None] * RUN + np.arange(RUN)
         order = order[runs[runs < len(order)]]  # blocks alike
         depth, w = tree.depth[spelling.byte[order]], self.weights.astype(np.float64)
-        blocks = ((level, at[lo : lo + BLOCK]) for level in range(int(depth.max(initial=0))) for at in [order[depth > level]] for lo in range(0, len(at), BLOCK))
-        for level, part in blocks:
-            x, gate = self.inputs(spelling.places, codes[level], part, _LESS)
-            n, cell = passed.take(part).astype(np.float32), gate.astype(np.intp)
+        blocks = ((look, at[lo : lo + BLOCK]) for level in range(int(depth.max(initial=0))) for at in [order[depth > level]] for look in [self.lookup(codes[level], _LESS, len(at))] for lo in range(0, len(at), BLOCK))
+        for look, part in blocks:
+            x, cell = self.inputs((place.take(part) for place in spelling.places), look)
+            n = passed.take(part).astype(np.float32)
             z = sum(row * v.take(cell) for v, row in zip(w.T.astype(np.float32, order="C"), x, strict=False))
             err = n * cost(z)[1]  # all logits are of the turn taken
             mass = np.bincount(cell, weights=n, minlength=GATES)
@@ -434,10 +459,14 @@ class Mixer:
         """Level by level edges that decide there, and their groups' weighed logits (edge, group), of the turn taken."""
         depth = spelling.depth(tree)
         order = np.argsort(np.uint8(255) - depth, kind="stable").astype(np.int32)
-        weights = self.weights.T.copy()
-        for level, part in self.parts(depth[order]):
+        weights, last = self.weights.T.copy(), -1
+        depth = depth.take(order)
+        for level, part in self.parts(depth):
+            if level > last:
+                look, last = None, level
+                look = self.lookup(codes[level], _WHOLE, int(np.searchsorted(-depth.astype(np.int16), -level)))
             edges = order[part]
-            x, gate = self.inputs(spelling.places, codes[level], edges, _WHOLE)
+            x, gate = self.inputs((place.take(edges) for place in spelling.places), look)
             rows = np.zeros((GROUP[-1] + 1, len(gate)), np.float32)
             for w, row, group in zip(weights, x, GROUP, strict=False):
                 row *= w.take(gate)
@@ -453,23 +482,32 @@ class Mixer:
 
     def text_costs(self, reading: Reading, codes: list[np.ndarray] | Onward, tree: Tree) -> tuple[np.ndarray, np.ndarray]:
         """Minus the natural logarithm of each text's probability, with the second layer and without."""
-        depth = reading.depth(tree)
-        first = np.concatenate(([0], np.cumsum(depth, dtype=np.int64)))
-        first = first.astype(np.int32) if first[-1] < 1 << 31 else first
-        logits, plain = np.empty(first[-1], np.uint64), np.zeros(len(depth), np.float32)  # four shorts a decision
+        depth = np.append(reading.depth(tree), np.uint8(0))  # an edge without decisions fills up
+        beyond = np.concatenate(([0], np.cumsum(np.maximum(depth, HEAD) - np.uint8(HEAD), dtype=np.int64)))
+        beyond = beyond.astype(np.int32) if beyond[-1] < 1 << 31 else beyond
+        # four shorts a decision: those of an edge's first levels together, others behind each other
+        head, rest, plain = np.zeros((len(depth), HEAD), np.uint64), np.empty(beyond[-1], np.uint64), np.zeros(len(depth), np.float32)
         for level, edges, rows in self.weighed(reading, codes, tree):
-            logits[first.take(edges) + level] = np.ascontiguousarray(np.rint(np.clip(rows, -31, 31) / UNIT).astype(np.int16)).view(np.uint64).ravel()
-            plain[edges] += cost(rows.sum(1))[0]
-        edges = rows = codes = None
-        give_back()
+            rows = rows.T  # a group's logits lie together
+            plain[edges] += cost(rows.sum(0))[0]
+            np.clip(rows, -31, 31, out=rows)
+            rows /= UNIT
+            short = np.ascontiguousarray(np.rint(rows, out=rows).astype(np.int16).T).view(np.uint64).ravel()
+            if level < HEAD:
+                head[edges, level] = short
+            else:
+                rest[beyond.take(edges) + (level - HEAD)] = short
+        edges = rows = short = codes = None
+        let_go()
+        keep_freed()
         edges, ends = reading.stream()
         size = np.diff(ends, prepend=0)
         longest_first = np.argsort(-size, kind="stable")
         out = np.zeros(len(size))
         for lo in range(0, len(size), TOGETHER):
             texts = longest_first[lo : lo + TOGETHER]
-            out[texts] = self.refined(edges, ends[texts] - size[texts], size[texts], first, depth, logits)
-        del logits
+            out[texts] = self.refined(edges, ends[texts] - size[texts], size[texts], depth, head, rest, beyond)
+        del head, rest
         even = np.zeros(len(size))
         for lo in range(0, len(size), TOGETHER):
             begin = ends[lo : lo + TOGETHER] - size[lo : lo + TOGETHER]
@@ -477,33 +515,48 @@ class Mixer:
         return out, even
 
     @staticmethod
-    def refined(edges: np.ndarray, begin: np.ndarray, size: np.ndarray, first: np.ndarray, depth: np.ndarray, logits: np.ndarray) -> np.ndarray:
-        """Texts, the longest first, take their steps together: costs with the factors learnt so far."""
-        factors, square, out = np.ones((GROUP[-1] + 1, len(size)), np.float32), np.ones((GROUP[-1] + 1, len(size)), np.float32), np.zeros(len(size))
+    def refined(edges: np.ndarray, begin: np.ndarray, size: np.ndarray, depth: np.ndarray, head: np.ndarray, rest: np.ndarray, beyond: np.ndarray) -> np.ndarray:
+        """Texts, the longest first, take their steps together: costs with the factors learnt so far.
+
+        A block's decisions at the first levels are a matrix a text, with logits of zero, which teach nothing, where an edge has fewer.
+        """
+        factors, square, out = np.ones((len(size), GROUP[-1] + 1), np.float32), np.ones((len(size), GROUP[-1] + 1), np.float32), np.zeros(len(size))
+        within, even = np.arange(STEP), float(cost(np.zeros(STEP, np.float32))[0][0])
         for lo in range(0, int(size[0]), STEP):
             m = int(np.searchsorted(-size, -lo))
-            n = np.minimum(size[:m] - lo, STEP)
-            end = np.cumsum(n)
-            passed = edges.take(np.arange(end[-1]) + np.repeat(begin[:m] + lo - (end - n), n))
-            deep = depth.take(passed)
-            to = np.cumsum(deep, dtype=first.dtype)
-            x = logits.take(np.arange(to[-1], dtype=first.dtype) + np.repeat(first.take(passed) - (to - deep), deep)).view(np.int16).reshape(-1, len(factors))
-            x = [x[:, k].astype(np.float32) for k in range(len(factors))]
-            of_text = to[end - 1]
-            cut, many = np.concatenate(([0], of_text[:-1])), np.diff(of_text, prepend=0)
-            much, err = cost(sum(np.repeat(f[:m] * UNIT, many) * row for f, row in zip(factors, x, strict=True)))
-            out[:m] += np.add.reduceat(much, cut, dtype=np.float64)
-            step = np.stack([np.add.reduceat(err * row, cut) for row in x]) * UNIT
-            square[:, :m] += step * step
-            factors[:, :m] += STEP_RATE * step / np.sqrt(square[:, :m])
+            at = begin[:m, None] + (lo + within)
+            ended = int(np.searchsorted(-size, -(lo + STEP), "right"))  # texts from there on end within the block
+            at[ended:] = np.minimum(at[ended:], len(edges) - 1)
+            passed = edges.take(at)
+            passed[ended:][within >= (size[ended:m] - lo)[:, None]] = len(depth) - 1
+            f, deep = factors[:m] * UNIT, depth.take(passed)
+            x = head.take(passed.ravel(), axis=0).view(np.int16).reshape(m, STEP * HEAD, -1).astype(np.float32)
+            much, err = cost(np.matmul(x, f[:, :, None])[:, :, 0])
+            out[:m] += much.sum(1, dtype=np.float64) - even * (STEP * HEAD - np.minimum(deep, HEAD).sum(1, dtype=np.int64))
+            step = np.matmul(err[:, None, :], x)[:, 0]
+            deeper = np.flatnonzero(deep > HEAD)
+            if len(deeper):
+                more, start = deep.ravel().take(deeper) - np.uint8(HEAD), beyond.take(passed.ravel().take(deeper))
+                end = np.cumsum(more, dtype=beyond.dtype)
+                text = np.repeat(deeper // STEP, more)
+                x = rest.take(np.arange(end[-1]) + np.repeat(start - (end - more), more)).view(np.int16).reshape(len(text), -1).astype(np.float32)
+                much, err = cost(np.einsum("nk,nk->n", x, f.take(text, axis=0)))
+                out[:m] += np.bincount(text, weights=much, minlength=m)
+                x *= err[:, None]
+                step += np.stack([np.bincount(text, weights=row, minlength=m) for row in x.T], 1)
+            step *= UNIT
+            square[:m] += step * step
+            factors[:m] += STEP_RATE * step / np.sqrt(square[:m])
         return out
 
 
 def cost(logit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Minus the natural logarithm of a turn's probability, and the other turn's probability."""
-    odds = np.exp(np.clip(-logit, -30, 30))
+    odds = np.negative(logit)
+    np.exp(np.clip(odds, -30, 30, out=odds), out=odds)
     whole = 1 + odds
-    return np.log(whole), odds / whole
+    odds /= whole
+    return np.log(whole, out=whole), odds
 
 
 def squeezed(x: np.ndarray, tool: zstandard.ZstdCompressor) -> bytes:
@@ -633,6 +686,7 @@ def totals(chunks: DataFrame, tree: Tree, bits: int, width: int) -> DataFrame:
         tool, opener, hasher = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor(), Hasher()
         for batch in batches:
             for chunk, spelt, times, *read in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                keep_freed()
                 spelt, times = opener.decompress(spelt), opened(times, np.uint64, opener)
                 reading, teach = reading_of(spelt, *read, tree, hasher, width, opener)
                 passed = reading.edge_counts(times, teach)
@@ -655,12 +709,17 @@ def totals(chunks: DataFrame, tree: Tree, bits: int, width: int) -> DataFrame:
                     [pa.array([x[0] for x in rows], pa.int32()), pa.array([chunk] * len(rows), pa.string()), *(pa.array([x[i] for x in rows], pa.binary()) for i in range(1, 8))],
                     ["r", "chunk", "words", "times", "keys", "counts", "across", "passed", "learnt"])
                 del sets, words, times, rows
-                give_back()
+                let_go()
 
     def summed(keys: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        key, back = np.unique(np.concatenate(keys), return_inverse=True)
+        sizes, key = [len(k) for k in keys], np.concatenate(keys)
+        back, one = grouped(key)
+        key = key.take(one)
+        order, place = np.argsort(key), np.empty(len(key), np.int32)
+        place[order] = np.arange(len(key), dtype=np.int32)
+        key, back = key.take(order), place.take(back)
         total = np.bincount(back, weights=np.concatenate(n), minlength=len(key)).astype(np.int64)
-        return key, total, np.split(back.astype(np.int32), np.cumsum([len(k) for k in keys])[:-1])
+        return key, total, np.split(back, np.cumsum(sizes)[:-1])
 
     def meet(table: pa.Table) -> pa.Table:
         opener, tool = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
@@ -881,6 +940,7 @@ def scores(docs: DataFrame, learns, keep: list[str], text_col: str = "text") ->
                 if spelt is None:  # not a chunk, but the totals of all
                     yield pa.RecordBatch.from_arrays([*(pa.nulls(1, f.type) for f in pa_rest), *(pa.nulls(1, pa.int64() if j in (0, 1) else pa.float64()) for j in range(5)), pa.array([words]), pa.array([n])], schema.fieldNames())
                     continue
+                keep_freed()
                 spelt = opener.decompress(spelt)
                 reading, _ = reading_of(spelt, tokens, sizes, teach, tree, hasher, width, opener)
                 codes = Onward(reading.levels(*(read_levels(x.keys, found, bits, tree, opener, kind) for x, kind in ((reading.spelling, "codes"), (reading, "across")))))
@@ -899,7 +959,7 @@ def scores(docs: DataFrame, learns, keep: list[str], text_col: str = "text") ->
                 fields = batch.column(5)[i].values
                 yield pa.RecordBatch.from_arrays([*(fields.field(j) for j in range(len(names))), pa.array(size + 1), pa.array(seen), pa.array(base), pa.array(log / np.log(10)), pa.array(per_byte), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], schema.fieldNames())
                 del token, doc, logs, c
-                give_back()
+                let_go()
 
     known = totals(chunks, tree, bits, width).join(chunks, "chunk", "left")
     done = written(known.select("spelt", "found", "tokens", "sizes", "teach", "rest", "words", "n").mapInArrow(lean(run), schema), "lm-scores")
