@@ -42,7 +42,7 @@ class Planner:
     """Plans expressions over one node table."""
 
     def __init__(self, nodes: DataFrame, namespaces: dict[str, str] | None = None, variables: dict | None = None) -> None:
-        self.nodes = nodes.select(*NODE, "is_id")
+        self.nodes = nodes.select(*NODE, "is_id").hint("merge")  # a table of nodes is small on disk, not in the driver: joins don't broadcast it
         self.namespaces = {"xml": "http://www.w3.org/XML/1998/namespace"} | (namespaces or {})
         self.variables, self.names = variables or {}, 0
 

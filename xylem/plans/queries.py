@@ -7,38 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from xylem.operators import sets
-from xylem.operators.storage import written
-from xylem.plans.planner import Planner
+from xylem.plans.batches import Documents
 from xylem.sources.fixtures import ITEMS_SQL, order_documents, part_documents, region_documents
-from xylem.sources.shred import shred
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 NS = {"p": "urn:part"}
 
 
-_TABLES: dict[tuple[str, str, str], DataFrame] = {}
-
-
-def node_table(spark, sf: str, documents) -> DataFrame:
-    """The documents' node table, shredded and written once a session: later steps and queries scan only its columns and kinds of node."""
-    key = (spark.sparkContext.applicationId, sf, documents.__name__)
-    if key not in _TABLES:
-        _TABLES[key] = written(shred(documents(spark, sf)), documents.__name__)
-    return _TABLES[key]
-
-
 def orders(spark, sf):
-    return Planner(node_table(spark, sf, order_documents))
+    return Documents(order_documents(spark, sf))
 
 
 def regions(spark, sf):
-    return Planner(node_table(spark, sf, region_documents))
+    return Documents(region_documents(spark, sf))
 
 
 def parts(spark, sf):
-    return Planner(node_table(spark, sf, part_documents), NS)
+    return Documents(part_documents(spark, sf), NS)
 
 
 def register(name: str, query, sql: str) -> None:
@@ -47,7 +33,7 @@ def register(name: str, query, sql: str) -> None:
 
 def values(name: str, plan, xpath: str, kind: str, sql: str) -> None:
     """The string-values a path selects, one row a node."""
-    register(name, lambda spark, sf: plan(spark, sf).select(xpath).select("doc_id", F.col("string_value").cast(kind).alias("value")), sql)
+    register(name, lambda spark, sf: plan(spark, sf).select(xpath, ("string_value",)).select("doc_id", F.col("string_value").cast(kind).alias("value")), sql)
 
 
 def result(name: str, plan, xpath: str, sql: str, change=None) -> None:
@@ -94,16 +80,15 @@ values("xp_id", parts, "id(concat('p',substring-after(/*/@xml:id,'p')))/price",
 values("xp_union", orders, "//item[qty>40]/@n | //item[note]/@n", "bigint", item_sql("n", "l_quantity > 40 OR l_discount > 0.05"))
 
 
-def set_query(operation, a: str, b: str):
+def set_query(operation: str, a: str, b: str):
     def run(spark, sf):
-        p = orders(spark, sf)
-        return operation(p.select(a), p.select(b)).select("doc_id", F.col("string_value").cast("bigint").alias("value"))
+        return getattr(orders(spark, sf), operation)(a, b, ("string_value",)).select("doc_id", F.col("string_value").cast("bigint").alias("value"))
 
     return run
 
 
-register("xp_intersection", set_query(sets.intersection, "//item[qty>40]/@n", "//item[note]/@n"), item_sql("n", "l_quantity > 40 AND l_discount > 0.05"))
-register("xp_difference", set_query(sets.difference, "//item[qty>40]/@n", "//item[note]/@n"), item_sql("n", "(l_quantity > 40) <> (l_discount > 0.05)"))
+register("xp_intersection", set_query("intersection", "//item[qty>40]/@n", "//item[note]/@n"), item_sql("n", "l_quantity > 40 AND l_discount > 0.05"))
+register("xp_difference", set_query("difference", "//item[qty>40]/@n", "//item[note]/@n"), item_sql("n", "(l_quantity > 40) <> (l_discount > 0.05)"))
 
 # Aggregates
 GROUPED = "{0} SELECT l_orderkey AS doc_id, {1} AS value FROM items GROUP BY 1"
@@ -140,7 +125,7 @@ for _name, _xpath, _sql in (
 
 def flagship(spark, sf):
     """Items of over 30 per order document."""
-    return orders(spark, sf).nodes_of("//item[qty>30]").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_items"))
+    return orders(spark, sf).counted("//item[qty>30]").withColumnRenamed("n", "n_items")
 
 
 register("m0_items", flagship, "SELECT l_orderkey AS doc_id, count(*) AS n_items FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 30 GROUP BY 1")

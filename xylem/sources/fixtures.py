@@ -57,7 +57,7 @@ def region_documents(spark, sf_dir: str) -> DataFrame:
 
 def part_documents(spark, sf_dir: str) -> DataFrame:
     """(doc_id, xml): <p:part xmlns:p="urn:part" xml:id= size=><p:name>..</p:name><price>..</price></p:part>"""
-    p = table(spark, sf_dir, "part")
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", "p_retailprice").repartition("p_partkey")  # the file may be one split
     return p.select(
         F.col("p_partkey").alias("doc_id"),
         F.concat(F.lit('<p:part xmlns:p="urn:part" xml:id="p'), F.col("p_partkey").cast("string"), F.lit('" size="'), F.col("p_size").cast("string"), F.lit('" xml:lang="en-US"><p:name>'), escaped(F.col("p_name")),
