@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +15,8 @@ from pyspark.sql import types as T
 from xylem.functions.uri import resolve, split
 from xylem.operators.serialize import _children, escape_attribute, escape_text, serialize, start_tag, walked
 from xylem.operators.storage import written
+from xylem.plans.batches import Paths
+from xylem.sources.batch import Batch, pieces_of
 from xylem.sources.parser import parse
 
 XI = "http://www.w3.org/2001/XInclude"
@@ -80,13 +84,19 @@ def by_id(nodes: list, name: str) -> int | None:
     return next((n[3] for n in nodes if n[12] and n[9] == name), None)
 
 
+def sequence(pointer: str | None) -> list[int] | None:
+    """The steps of a pointer that is one element() sequence from the root; None for any other."""
+    m = re.fullmatch(r"\s*element\(((?:/[1-9][0-9]*)+)\)", pointer or "", re.ASCII)
+    return [int(s) for s in m[1][1:].split("/")] if m else None
+
+
 def pointed(docs: DataFrame, pointer_col: str, id_col: str = "doc_id", xml_col: str = "xml") -> DataFrame:
-    """(doc_id, pre, value, state): what each document's pointer finds; state is found, unresolvable or unparsable."""
+    """(doc_id, pre, value, state): what each document's pointer finds; state is found, unresolvable or unparsable.
+    Element sequences are followed in all plain documents at once, other pointers in one document after another."""
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *T._parse_datatype_string("pre int, value string, state string").fields])
 
-    def one(xml, pointer):
+    def one(nodes, pointer):
         try:
-            nodes = parse(xml).nodes
             at = point(nodes, pointer or "")
         except PointerError:
             return None, None, "unparsable"
@@ -95,9 +105,39 @@ def pointed(docs: DataFrame, pointer_col: str, id_col: str = "doc_id", xml_col:
         return at, "".join(n[9] or "" for n in nodes[at : at + nodes[at][1] + 1] if n[4] in ("text", "cdata")), "found"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = [one(x, p) for x, p in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int32(), pa.string(), pa.string())))], ["doc_id", "pre", "value", "state"])
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(schema)
+        for batch in batches:
+            for part in pieces_of(batch):
+                coded = part.column(2).dictionary_encode()
+                steps = [sequence(x) for x in coded.dictionary.to_pylist()]
+                code = pc.fill_null(coded.indices, -1).to_numpy()
+                easy = np.array([s is not None for s in steps] + [False], bool)[code]  # null is the last
+                b = Batch(part.column(0).filter(pa.array(easy)), part.column(1).filter(pa.array(easy)))
+                code = code[easy][b.rows]
+                p, found = Paths(b), np.full(b.n_plain, -1, np.int64)
+                for c in np.unique(code[: b.n_plain]):
+                    rows = np.flatnonzero(code[: b.n_plain] == c)
+                    nodes = b.starts[rows]
+                    for s in steps[c]:
+                        at, nodes = p.step(np.arange(len(nodes)), nodes, "child", ("name", None, None), (("number", float(s)),))
+                        rows = rows[at]
+                    found[rows] = nodes
+                some = np.flatnonzero(found >= 0)
+                values = b.strings(found[some]).cast(pa.string())
+                place = np.full(b.n_plain, -1, np.int64)
+                place[some] = np.arange(len(some))
+                none = place < 0
+                yield pa.RecordBatch.from_arrays([
+                    b.ids.slice(0, b.n_plain).cast(arrow.types[0]), pa.array(np.where(none, 0, found - b.starts[: b.n_plain]), pa.int32(), mask=none), values.take(pa.array(place, mask=none)),
+                    pc.if_else(pa.array(none), "unresolvable", "found"),
+                ], schema=arrow)
+                texts = part.column(2).filter(pa.array(easy)).take(pa.array(b.rows[b.n_plain :])).to_pylist()
+                rest = [(i, *one(x.nodes, t)) for i, x, t in zip(b.ids.slice(b.n_plain).to_pylist(), b.odd, texts, strict=True)]
+                hard = part.filter(pa.array(~easy))
+                rest += [(i, *one(parse(x).nodes, t)) for i, x, t in zip(*(c.to_pylist() for c in hard.columns), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in rest], t) for i, t in enumerate(arrow.types)], schema=arrow)
 
     return docs.select(id_col, xml_col, pointer_col).mapInArrow(run, schema)
 
